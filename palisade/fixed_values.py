@@ -120,7 +120,7 @@ JAVASCRIPT_WHITESPACE = [
 
 # Non-ASCII characters that match an ASCII letter when case is ignored:
 # long s, dotless i, dotted capital I, Kelvin sign.
-ASCII_CASE_PARTNERS = ["ſ", "ı", "İ", "K"]
+ASCII_CASE_PARTNERS = ["\u017f", "\u0131", "\u0130", "\u212a"]
 
 # --- fixed values: intent model ----------------------------------------------
 
@@ -230,7 +230,7 @@ CONTROL_TOKENS = (
     r"</?\|im_(?:start|end)\|>|\[/?INST\]|<<SYS>>|<</SYS>>|</?system>"
 )
 ESCAPED_PREFIX, ESCAPED_SUFFIX = "[ESCAPED:", "]"
-ZERO_WIDTH_SPACE = "​"
+ZERO_WIDTH_SPACE = "\u200b"
 
 BYPASS_RULES_HEADING = "System Rules:\n"
 BYPASS_USER_HEADING = "User Input:\n"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,12 +110,9 @@ def guard_requests(requests: DataFrame, model: IntentModel) -> DataFrame:
     neither scanned nor scored.
     """
     bypass = F.col("bypass_proxy")
-    config = replace(
-        GuardConfig.from_columns(), block_on_sanitizer=F.col("block_on_sanitizer") & ~bypass
-    )
     # A null text is neither scanned nor scored.
     staged = requests.withColumn("__guarded", F.when(~bypass, F.col("user_input")))
-    guarded = guard(staged, model, config, "__guarded", "tool_context")
+    guarded = guard(staged, model, GuardConfig.from_columns(), "__guarded", "tool_context")
     raw = unprotected_prompt(F.col("user_input"), F.col("tool_context"), F.col("system_rules"))
     untouched = F.struct(
         F.col("user_input").alias("original_text"),
