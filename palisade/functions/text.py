@@ -73,9 +73,12 @@ def base64_tokens(text: Column) -> Column:
     """All maximal base64-alphabet runs that decode to printable UTF-8 text."""
 
     def decodes(token: Column) -> Column:
+        # Spark accepts a last group without its padding; strict base64 does not.
+        whole_groups = F.length(token) % 4 == 0
         decoded = F.try_to_binary(token, F.lit("base64")).cast("string")
         return F.coalesce(
-            F.is_valid_utf8(decoded) & ~decoded.rlike(UNPRINTABLE_CLASS), F.lit(False)
+            whole_groups & F.is_valid_utf8(decoded) & ~decoded.rlike(UNPRINTABLE_CLASS),
+            F.lit(False),
         )
 
     return F.filter(F.regexp_extract_all(text, F.lit(BASE64_RUN), F.lit(0)), decodes)

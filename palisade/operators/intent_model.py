@@ -23,6 +23,7 @@ from palisade.sources.corpus import seed_samples
 MAX_BROADCAST_GRAMS = 2_000_000
 
 _INDEX_BUCKETS = 256
+_ENTRIES_PER_TASK = 1_000_000
 
 
 @dataclass
@@ -39,7 +40,7 @@ class IntentModel:
         """The vocabulary as arrays, or None where it is too large to send."""
         if self.n_grams > MAX_BROADCAST_GRAMS:
             return None
-        return _encoder(self.grams)
+        return _encoder(self.grams.toPandas())
 
     @cached_property
     def broadcast(self):
@@ -48,8 +49,7 @@ class IntentModel:
         return self.grams.sparkSession.sparkContext.broadcast(self.encoder)
 
 
-def _encoder(grams: DataFrame) -> GramEncoder | None:
-    table = grams.select("gram", "idf", "weight").toPandas().sort_values("gram")
+def _encoder(table: pd.DataFrame) -> GramEncoder | None:
     if not GramEncoder.alphabet_fits(table["gram"]):
         return None
     return GramEncoder(
@@ -158,16 +158,19 @@ def train(
     )
 
     vocabulary = materialise(gram_idf(samples), "vocabulary")
-    n_grams = vocabulary.count()
+    n_grams, n_entries = vocabulary.agg(F.count("*"), F.sum("df")).first()
     encoder = None
     if n_grams <= max_broadcast_grams:
-        encoder = _encoder(vocabulary.withColumn("weight", F.lit(0.0)))
+        table = vocabulary.select("gram", "idf").toPandas().sort_values("gram").assign(weight=0.0)
+        encoder = _encoder(table)
     if encoder is not None:
-        in_order = vocabulary.select("gram", "idf").toPandas().sort_values("gram")
         vectors = _vectors_by_broadcast(weighted, encoder, n_grams)
     else:
         indexed = materialise(index_grams(vocabulary), "indexed_vocabulary")
         vectors = _vectors_by_join(weighted, indexed, n_grams)
+    # The fit runs a job per iteration, so a small set should not be many tasks.
+    # coalesce() only ever lowers the number of partitions.
+    vectors = vectors.coalesce(1 + n_entries // _ENTRIES_PER_TASK)
 
     fitted = LogisticRegression(
         regParam=1.0 / (c * n_samples),
@@ -181,7 +184,7 @@ def train(
 
     if encoder is not None:
         grams = spark.createDataFrame(
-            in_order.assign(weight=coefficients), "gram string, idf double, weight double"
+            table.assign(weight=coefficients), "gram string, idf double, weight double"
         )
     else:
         by_index = spark.createDataFrame(

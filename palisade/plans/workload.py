@@ -319,8 +319,15 @@ def intent_score_join(spark: SparkSession, folder: str) -> DataFrame:
     return _scored_view(score_by_join(texts, seed_model(spark), ["prompt_id"]), "prompt_id")
 
 
+_label_models: dict[tuple[str, str], IntentModel] = {}
+
+
 def _label_model(spark: SparkSession, folder: str) -> IntentModel:
-    return train(labelled(spark, folder))
+    """One model per application and folder, fitted on first use."""
+    version = (spark.sparkContext.applicationId, folder)
+    if version not in _label_models:
+        _label_models[version] = train(labelled(spark, folder), tol=1e-6)
+    return _label_models[version]
 
 
 def train_intent(spark: SparkSession, folder: str) -> DataFrame:
