@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.grams import char_grams, distinct_char_grams
+from palisade.functions.grams import distinct_char_grams, word_grams, words
 
 
 def term_frequencies(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, gram, tf).  The keys must identify a row."""
-    grams = df.select(*keys, F.explode(char_grams(F.col(text_col))).alias("gram"))
+    """(keys, gram, tf).  The keys must identify a row.
+
+    The texts are spread by key first: a text is some twenty times smaller than
+    its table of counts, and the counting then needs no further shuffle.
+    """
+    by_key = df.select(*keys, F.col(text_col).alias("__text")).repartition(*keys)
+    each_word = by_key.select(*keys, F.explode(words(F.col("__text"))).alias("word"))
+    grams = each_word.select(*keys, F.explode(word_grams(F.col("word"))).alias("gram"))
     return grams.groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
 
 
@@ -24,17 +30,37 @@ def document_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def gram_idf(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, df, idf) with idf = ln((1 + n) / (1 + df)) + 1 over n texts."""
-    n = df.agg(F.count(F.col(text_col))).scalar()
+def gram_idf(df: DataFrame, text_col: str = "text", n: int | None = None) -> DataFrame:
+    """(gram, df, idf) with idf = ln((1 + n) / (1 + df)) + 1 over n texts.
+
+    ``n`` is counted unless given.
+    """
+    total = df.agg(F.count(F.col(text_col))).scalar() if n is None else F.lit(n)
     return document_frequencies(df, text_col).withColumn(
-        "idf", F.log((n + 1) / (F.col("df") + 1)) + 1
+        "idf", F.log((total + 1) / (F.col("df") + 1)) + 1
     )
 
 
+def join_grams(terms: DataFrame, table: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """Join gram counts to a table with one row per gram.
+
+    Common grams occur in nearly every text.  The table is repeated ``salts``
+    times and each text uses one copy, so that no gram's rows all meet in one
+    task.  Grams that are not in the table are dropped.
+    """
+    salted = terms.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
+    copies = table.withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))
+    )
+    return salted.join(copies, ["gram", "__salt"]).drop("__salt")
+
+
 def class_weights(samples: DataFrame, label_col: str = "label") -> DataFrame:
-    """(label, n, weight) with weight = total / (classes * n)."""
+    """(label, n, weight) with weight = total / (classes * n).
+
+    The window runs over the counts, one row per class.
+    """
     counts = samples.groupBy(label_col).agg(F.count("*").alias("n"))
-    total = samples.agg(F.count(label_col)).scalar()
-    classes = samples.agg(F.count_distinct(label_col)).scalar()
-    return counts.withColumn("weight", total / (classes * F.col("n")))
+    all_classes = Window.partitionBy(F.lit(0))
+    total, classes = F.sum("n").over(all_classes), F.count("*").over(all_classes)
+    return counts.select(label_col, "n", (total / (classes * F.col("n"))).alias("weight"))

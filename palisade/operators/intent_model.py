@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fv
 from palisade.functions.gram_encoder import GramEncoder
-from palisade.operators.intent_features import class_weights, gram_idf, term_frequencies
+from palisade.operators.intent_features import (
+    class_weights,
+    gram_idf,
+    join_grams,
+    term_frequencies,
+)
 from palisade.session import materialise
 from palisade.sources.corpus import seed_samples
 
@@ -102,7 +107,7 @@ def _vectors_by_join(samples: DataFrame, indexed: DataFrame, n_grams: int) -> Da
     keyed = materialise(
         samples.withColumn("sample_id", F.monotonically_increasing_id()), "keyed_samples"
     )
-    terms = term_frequencies(keyed, ["sample_id"]).join(indexed, "gram")
+    terms = join_grams(term_frequencies(keyed, ["sample_id"]), indexed, ["sample_id"])
     weighted = terms.select(
         "sample_id", "idx", ((F.log("tf") + 1) * F.col("idf")).alias("x")
     )
@@ -157,7 +162,7 @@ def train(
         "class_weight", F.when(F.col("label") == 1, weights[1.0][1]).otherwise(weights[0.0][1])
     )
 
-    vocabulary = materialise(gram_idf(samples), "vocabulary")
+    vocabulary = materialise(gram_idf(samples, n=n_samples), "vocabulary")
     n_grams, n_entries = vocabulary.agg(F.count("*"), F.sum("df")).first()
     encoder = None
     if n_grams <= max_broadcast_grams:

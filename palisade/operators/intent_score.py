@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fv
+from palisade.functions.once import compute_once
 from palisade.functions.text import as_column
-from palisade.operators.intent_features import term_frequencies
+from palisade.operators.intent_features import join_grams, term_frequencies
 from palisade.operators.intent_model import IntentModel
 
-_SALTS = 16
-
-
 def score_column(text: Column, model: IntentModel) -> Column:
     """Adversarial probability of each text, for models small enough to send.
 
@@ -40,25 +38,17 @@ def score_column(text: Column, model: IntentModel) -> Column:
 
 
 def score_by_join(
-    df: DataFrame, model: IntentModel, keys: list[str], text_col: str = "text", salts: int = _SALTS
+    df: DataFrame, model: IntentModel, keys: list[str], text_col: str = "text", salts: int = 16
 ) -> DataFrame:
     """(keys, score) by joining gram counts to the model table, for any model size.
 
-    Common grams occur in nearly every text.  The model side is repeated
-    ``salts`` times and each text uses one copy, so that no gram's rows meet in
-    one task.  Texts with no known gram get sigmoid(intercept).
+    Texts with no known gram get sigmoid(intercept).
     """
     known = df.filter(F.col(text_col).isNotNull())
-    terms = term_frequencies(known, keys, text_col).withColumn(
-        "salt", F.pmod(F.xxhash64(*keys), F.lit(salts))
-    )
-    copies = model.grams.select(
-        "gram", "idf", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    ).withColumn("salt", F.col("salt").cast("long"))
+    terms = join_grams(term_frequencies(known, keys, text_col), model.grams, keys, salts)
     value = (F.log("tf") + 1) * F.col("idf")
     sums = (
-        terms.join(copies, ["gram", "salt"])
-        .select(*keys, value.alias("x"), (value * F.col("weight")).alias("xw"))
+        terms.select(*keys, value.alias("x"), (value * F.col("weight")).alias("xw"))
         .groupBy(*keys)
         .agg((F.sum("xw") / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("dot"))
     )
@@ -97,7 +87,7 @@ def score(
     """
     text = F.col(text) if isinstance(text, str) else text
     if model.broadcast is not None:
-        return df.withColumn(into, score_column(text, model))
+        return compute_once(df, {into: score_column(text, model)})
     if not keys:
         raise ValueError("a model this large is applied by join and needs key columns")
     scores = score_by_join(df.select(*keys, text.alias("__text")), model, keys, "__text")

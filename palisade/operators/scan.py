@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fv
 from palisade.functions import text as tx
+from palisade.functions.once import compute_once
 
 FINDING_TYPE = (
     "struct<rule_name:string,severity:string,matched_text:string,description:string>"
@@ -71,8 +72,7 @@ def scan(
     """Add a struct column with original_text, cleaned_text, blocked and findings.
 
     Rules read the raw text; cleaning comes after.  Null text gives a null
-    struct.  No shuffle, no Python; a consumer that needs only ``blocked`` pays
-    only for the rules of high severity.
+    struct.  No shuffle, no Python.
     """
     kept = [F.col(f"`{c}`") for c in df.columns]
     text = F.col(f"`{text_col}`")
@@ -81,14 +81,14 @@ def scan(
         F.lower(text).alias("__lowered"),
         _any_of([F.contains(text, F.lit(c)) for c in fv.ASCII_CASE_PARTNERS]).alias("__partner"),
     )
-    hits = low.select(
-        *kept,
-        *[
-            _matched_text(rule, text, F.col("__lowered"), F.col("__partner")).alias(
-                _hit_column(rule.name)
+    hits = compute_once(
+        low,
+        {
+            _hit_column(rule.name): _matched_text(
+                rule, text, F.col("__lowered"), F.col("__partner")
             )
             for rule in fv.RULES
-        ],
+        },
     )
 
     def finding(rule: fv.Rule) -> Column:
