@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from palisade import fixed_values as fv
 from palisade.functions.text import WHITESPACE_CLASS
 
+_PIECE_WORDS = 2000
+
+# Overlapping windows by look-ahead.  In a text with single spaces a window is a
+# gram of one padded word exactly if it has no space inside.  The search moves
+# by UTF-16 unit, so a window must not begin at the second half of a pair.
+_FIRST = r"[^\x{DC00}-\x{DFFF}]"
+_WINDOWS = [
+    f"(?s)(?!  )(?=({_FIRST}{'[^ ]' * (size - 2)}.))"
+    for size in range(fv.GRAM_MIN, fv.GRAM_MAX + 1)
+]
+
 
 def words(text: Column) -> Column:
     """Lower-cased words, split on any run of white space."""
@@ -15,24 +26,24 @@ def words(text: Column) -> Column:
     return F.filter(split, lambda word: word != "")
 
 
-def word_grams(word: Column) -> Column:
-    """Substrings of length 2 to 4 of the word with one space on each side."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    sizes = F.sequence(F.lit(fv.GRAM_MIN), F.least(F.lit(fv.GRAM_MAX), F.length(padded)))
+def grams_of_words(word_array: Column) -> Column:
+    spaced = F.concat(F.lit(" "), F.array_join(word_array, " "), F.lit(" "))
+    return F.concat(*[F.regexp_extract_all(spaced, F.lit(w), F.lit(1)) for w in _WINDOWS])
 
-    def of_size(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(padded) - n + 1)
-        return F.transform(starts, lambda start: padded.substr(start, n))
 
-    return F.flatten(F.transform(sizes, of_size))
+def char_grams(text: Column) -> Column:
+    """Every gram of the text with repeats: substrings of length 2 to 4 of each
+    word with one space on both sides."""
+    return grams_of_words(words(text))
 
 
-def char_grams(text: Column) -> Column:
-    """Every gram of the text, with repeats, word by word."""
-    return F.flatten(F.transform(words(text), word_grams))
+def word_pieces(word_array: Column) -> Column:
+    """The words in arrays of bounded length, so that a long text need not have
+    all its grams in memory at once."""
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(word_array), F.lit(1)), F.lit(_PIECE_WORDS))
+    return F.transform(firsts, lambda first: F.slice(word_array, first, F.lit(_PIECE_WORDS)))
 
 
 def distinct_char_grams(text: Column) -> Column:
     """The set of grams of the text; repeated words are cut up once."""
-    distinct_words = F.array_distinct(words(text))
-    return F.array_distinct(F.flatten(F.transform(distinct_words, word_grams)))
+    return F.array_distinct(grams_of_words(F.array_distinct(words(text))))

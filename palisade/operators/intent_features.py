@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.grams import distinct_char_grams, word_grams, words
+from palisade.functions.grams import distinct_char_grams, grams_of_words, word_pieces, words
 
 
 def term_frequencies(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -14,9 +14,9 @@ def term_frequencies(df: DataFrame, keys: list[str], text_col: str = "text") ->
     The texts are spread by key first: a text is some twenty times smaller than
     its table of counts, and the counting then needs no further shuffle.
     """
-    by_key = df.select(*keys, F.col(text_col).alias("__text")).repartition(*keys)
-    each_word = by_key.select(*keys, F.explode(words(F.col("__text"))).alias("word"))
-    grams = each_word.select(*keys, F.explode(word_grams(F.col("word"))).alias("gram"))
+    by_key = df.select(*keys, words(F.col(text_col)).alias("__words")).repartition(*keys)
+    pieces = by_key.select(*keys, F.explode(word_pieces(F.col("__words"))).alias("__piece"))
+    grams = pieces.select(*keys, F.explode(grams_of_words(F.col("__piece"))).alias("gram"))
     return grams.groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
 
 

@@ -20,7 +20,7 @@ from palisade.operators.intent_features import (
     join_grams,
     term_frequencies,
 )
-from palisade.session import materialise
+from palisade.session import materialise, ship_package
 from palisade.sources.corpus import seed_samples
 
 # A vocabulary up to this size (about 50 MB as arrays) is sent to every task.
@@ -51,7 +51,7 @@ class IntentModel:
     def broadcast(self):
         if self.encoder is None:
             return None
-        return self.grams.sparkSession.sparkContext.broadcast(self.encoder)
+        return _share(self.grams.sparkSession, self.encoder)
 
 
 def _encoder(table: pd.DataFrame) -> GramEncoder | None:
@@ -62,6 +62,11 @@ def _encoder(table: pd.DataFrame) -> GramEncoder | None:
     )
 
 
+def _share(spark: SparkSession, encoder: GramEncoder):
+    ship_package(spark)
+    return spark.sparkContext.broadcast(encoder)
+
+
 _to_vector = F.udf(
     lambda size, row: Vectors.sparse(size, row["indices"], row["values"]), VectorUDT()
 )
@@ -69,7 +74,7 @@ _to_vector = F.udf(
 
 def _vectors_by_broadcast(samples: DataFrame, encoder: GramEncoder, n_grams: int) -> DataFrame:
     """(label, features) without a shuffle: every task holds the vocabulary."""
-    shared = samples.sparkSession.sparkContext.broadcast(encoder)
+    shared = _share(samples.sparkSession, encoder)
 
     @F.pandas_udf("struct<indices:array<int>,values:array<double>>")
     def encode(lowered: pd.Series) -> pd.DataFrame:

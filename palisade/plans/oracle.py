@@ -388,7 +388,7 @@ SELECT rule_name, rule_ord, severity, description, count(f) AS n_findings,
 FROM rules LEFT JOIN long ON f.rule_name = rules.rule_name GROUP BY ALL"""
 
     sql["clean_text"] = f"""{doc_scan}
-SELECT doc_id, md5(cleaned) AS cleaned_md5, length(cleaned) AS cleaned_chars FROM scanned"""
+SELECT doc_id, md5(cleaned) AS cleaned_md5, length(cleaned)::INTEGER AS cleaned_chars FROM scanned"""
 
     sql["base64_hits"] = f"""WITH {DOCS}
 SELECT doc_id, token, decode(from_base64(token)) AS decoded
@@ -408,7 +408,7 @@ SELECT doc_id, lang, md5(text) AS text_md5 FROM scanned WHERE len(findings) = 0"
     full = DEFAULT.full("text", RULES_TEXT, "tools")
     sql["assemble_prompt"] = f"""WITH {PROMPTS}, {PAGE_BLOCKS}, {_tools(DEFAULT)},
 built AS (SELECT prompt_id, n_tools, {full} AS p FROM prompts LEFT JOIN tools USING (prompt_id))
-SELECT prompt_id, coalesce(n_tools, 0) AS n_tools, length(p) AS prompt_chars, md5(p) AS prompt_md5,
+SELECT prompt_id, coalesce(n_tools, 0)::INTEGER AS n_tools, length(p)::INTEGER AS prompt_chars, md5(p) AS prompt_md5,
   md5(array_to_string(string_split(p, {NL})[1:{fv.EXCERPT_LINES}], {NL})) AS excerpt_md5 FROM built"""
 
     salted = _Prompt(quote(_boundary("messages")))
@@ -420,7 +420,7 @@ built AS (
 messages AS (
   SELECT prompt_id, 0 AS ord, 'system' AS role, system_message AS content FROM built
   UNION ALL SELECT prompt_id, 1, 'user', user_message FROM built)
-SELECT prompt_id, ord, role, length(content) AS content_chars, md5(content) AS content_md5 FROM messages"""
+SELECT prompt_id, ord, role, length(content)::INTEGER AS content_chars, md5(content) AS content_md5 FROM messages"""
 
     head = f"{DEFAULT.preamble} || {NL} || {DEFAULT.block('SYSTEM', RULES_TEXT)}"
     sql["segment_rows"] = f"""WITH {PROMPTS}, {PAGE_BLOCKS}
@@ -432,7 +432,7 @@ UNION ALL SELECT prompt_id, 2, 0, md5({DEFAULT.user("text")}) FROM prompts"""
     sql["keyword_tools"] = f"""WITH {PROMPTS}, {DOCS}, {DOC_BLOCKS}, joined AS (
   SELECT prompt_id, count(*) AS n_tools, string_agg(content, {NL} ORDER BY pos) AS content
   FROM blocks WHERE content <> '' GROUP BY prompt_id)
-SELECT p.prompt_id, coalesce(n_tools, 0) AS n_tools, md5(content) AS tools_md5
+SELECT p.prompt_id, coalesce(n_tools, 0)::INTEGER AS n_tools, md5(content) AS tools_md5
 FROM prompts p LEFT JOIN joined j ON p.prompt_id = j.prompt_id AND contains(lower(p.text), 'instructions')"""
 
     row_id = _Prompt("boundary")
@@ -453,7 +453,7 @@ SELECT prompt_id, boundary, md5({row_id.full("text", RULES_TEXT)}) AS prompt_md5
   FROM blocks WHERE trim(content, {js_white}) <> '' GROUP BY prompt_id),
 trimmed AS (SELECT prompt_id, trim(text, {js_white}) AS text FROM prompts),
 built AS (SELECT prompt_id, {raw} AS raw FROM trimmed LEFT JOIN tools USING (prompt_id) WHERE text <> '')
-SELECT prompt_id, length(raw) AS raw_chars, md5(raw) AS raw_md5 FROM built"""
+SELECT prompt_id, length(raw)::INTEGER AS raw_chars, md5(raw) AS raw_md5 FROM built"""
 
     sql["exposure_audit"] = f"""WITH {PROMPTS}, paths AS (
   SELECT 'bypass' AS path, role, {RAW_PLAIN} AS prompt FROM prompts

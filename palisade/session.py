@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers do not inherit the driver's import path, and unpickling the encoder
+    needs the package.  Nothing is sent where it already runs from an archive
+    given to spark-submit.
+    """
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="palisade-")) / "palisade.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/palisade/{uuid.uuid4().hex}/{name}"
 

@@ -186,3 +186,9 @@ def test_save_and_load(spark, seed, tmp_path):
 def test_scoring_needs_no_shuffle(spark, seed, plan_of):
     plan = plan_of(score(spark.range(3).selectExpr("cast(id as string) as text"), seed))
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_invalid_utf8_is_scored_like_its_replacement(spark, seed):
+    df = spark.sql("select 1 as id, cast(unhex('61FF62') as string) as text union all select 2, 'a\ufffdb'")
+    first, second = score(df, seed).orderBy("id").collect()
+    assert first["score"] == second["score"]

@@ -10,6 +10,7 @@ from palisade.session import shared_dir
 from tools_check import TABLES, canonical
 
 FOLDER = "/root/testdata/sf0.001"
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +23,10 @@ def db():
 
 @pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_sql(spark, db, name):
-    ours = entry.queries()[name](spark, FOLDER).toPandas()
-    theirs = db.execute(entry.oracle_sql()[name]).df()
-    assert len(ours) and sorted(ours.columns) == sorted(theirs.columns)
+    query = entry.queries()[name](spark, FOLDER)
+    ours, theirs = query.toPandas(), db.execute(entry.oracle_sql()[name]).df()
+    sql_types = {r[0]: r[1] for r in db.execute("DESCRIBE " + entry.oracle_sql()[name]).fetchall()}
+    assert len(ours) and {c: TYPES[t] for c, t in query.dtypes} == sql_types
     assert canonical(ours) == canonical(theirs)
 
 
