@@ -1,7 +1,8 @@
-"""Gram counting against a fixed vocabulary, vectorised over an Arrow batch."""
+"""Gram counting, vectorised over the texts of an Arrow batch."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,98 @@ _SIZES = range(fv.GRAM_MIN, fv.GRAM_MAX + 1)
 MAX_ALPHABET = 0xFFFF
 
 
+def _spaced(texts: list[str]) -> list[str]:
+    return [f" {' '.join(t.split())} " for t in texts]
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _pack(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit code per row of up to four 16-bit ids."""
+    code = columns[0].astype(np.uint64)
+    for column in columns[1:]:
+        code = (code << np.uint64(16)) | column
+    return code
+
+
+def _row_groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts in groups of bounded size, with the number of the first."""
+    first, group, chars = 0, [], 0
+    for i, text in enumerate(texts):
+        if group and chars + len(text) > _ROW_GROUP_CHARS:
+            yield first, group
+            first, group, chars = i, [], 0
+        group.append(text)
+        chars += len(text)
+    if group:
+        yield first, group
+
+
+def _grams_in(texts: list[str], alphabet: np.ndarray) -> list[str]:
+    """The distinct grams of a group of texts that uses the given characters."""
+    ids = np.zeros(0x110000, dtype=np.uint16)
+    ids[alphabet] = np.arange(len(alphabet))
+    ids, space = ids[_code_points("".join(_spaced(texts)))], ids[ord(" ")]
+    symbols = [chr(c) for c in alphabet]
+    grams = []
+    for size in _SIZES:
+        codes = np.zeros(0, dtype=np.uint64)
+        for start in range(0, len(ids) - size + 1, _BLOCK_CHARS):
+            stop = min(start + _BLOCK_CHARS, len(ids) - size + 1)
+            columns = [ids[start + k : stop + k] for k in range(size)]
+            in_word = ~((columns[0] == space) & (columns[1] == space))
+            for inner in columns[1:-1]:
+                in_word &= inner != space
+            codes = np.union1d(codes, _pack([c[in_word] for c in columns]))
+        for code in codes.tolist():
+            shifts = range(16 * (size - 1), -1, -16)
+            grams.append("".join(symbols[(code >> shift) & 0xFFFF] for shift in shifts))
+    return grams
+
+
+def _plain_counts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The result of :func:`_count_all` for texts with more characters than ids."""
+    counts = [
+        Counter(w[i : i + n] for w in padded for n in _SIZES for i in range(len(w) - n + 1))
+        for padded in ([f" {w} " for w in t.split()] for t in texts)
+    ]
+    grams = sorted(set().union(*counts))
+    at = {gram: i for i, gram in enumerate(grams)}
+    entries = [(row, at[g], n) for row, count in enumerate(counts) for g, n in count.items()]
+    row, gram, tf = np.array(entries, dtype=np.int64).reshape(-1, 3).T
+    return grams, row, gram, tf
+
+
+def _count_all(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, row, gram index, count) of every gram in a group of texts."""
+    present = np.zeros(0x110000, dtype=bool)
+    present[ord(" ")] = True
+    for text in texts:
+        present[_code_points(text)] = True
+    alphabet = np.flatnonzero(present)
+    if len(alphabet) > MAX_ALPHABET:
+        return _plain_counts(texts)
+    grams = _grams_in(texts, alphabet)
+    none = np.zeros(len(grams))
+    return grams, *GramEncoder(grams, none, none).count_group(texts)
+
+
+def gram_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, gram, count) arrays of all grams, per group of texts."""
+    for first, group in _row_groups(texts):
+        grams, row, gram, tf = _count_all(group)
+        yield first + row, np.array(grams, dtype=object)[gram], tf
+
+
+def gram_document_counts(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Grams, and in how many of the texts each occurs, per group of texts."""
+    for _, group in _row_groups(texts):
+        grams, _, gram, _ = _count_all(group)
+        yield grams, np.bincount(gram, minlength=len(grams))
+
+
 class GramEncoder:
     """Counts vocabulary grams per text with array operations only.
 
@@ -37,7 +130,7 @@ class GramEncoder:
         for size in _SIZES:
             positions = np.array([i for i, g in enumerate(grams) if len(g) == size], dtype=np.int64)
             ids = self._ids("".join(grams[i] for i in positions)).reshape(-1, size)
-            codes = self._pack([ids[:, k] for k in range(size)])
+            codes = _pack([ids[:, k] for k in range(size)])
             order = np.argsort(codes)
             self._codes[size], self._positions[size] = codes[order], positions[order]
 
@@ -46,14 +139,7 @@ class GramEncoder:
         return len(set("".join(grams))) <= MAX_ALPHABET
 
     def _ids(self, text: str) -> np.ndarray:
-        return self._char_id[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
-
-    @staticmethod
-    def _pack(columns: list[np.ndarray]) -> np.ndarray:
-        code = columns[0].astype(np.uint64)
-        for column in columns[1:]:
-            code = (code << np.uint64(16)) | column
-        return code
+        return self._char_id[_code_points(text)]
 
     def _count_keys(self, keys: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
         if bins <= 4 * len(keys):
@@ -62,9 +148,9 @@ class GramEncoder:
             return found, counts[found]
         return np.unique(keys, return_counts=True)
 
-    def _count_group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def count_group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, gram index, count) for a group of texts, in row and gram order."""
-        spaced = [f" {' '.join(t.split())} " for t in texts]
+        spaced = _spaced(texts)
         ids = self._ids("".join(spaced))
         row_of = np.repeat(np.arange(len(texts)), [len(s) for s in spaced])
         size_v = len(self.idf)
@@ -76,7 +162,7 @@ class GramEncoder:
                 stop = min(start + _BLOCK_CHARS, len(ids) - size + 1)
                 if stop <= start or not len(table):
                     continue
-                codes = self._pack([ids[start + k : stop + k] for k in range(size)])
+                codes = _pack([ids[start + k : stop + k] for k in range(size)])
                 at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
                 hit = np.flatnonzero(table[at] == codes)
                 keys.append(row_of[start + hit] * size_v + self._positions[size][at[hit]])
@@ -94,24 +180,13 @@ class GramEncoder:
             keys, tf = found[0], counts[0]
         return keys // size_v, keys % size_v, tf
 
-    def _row_groups(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-        first, group, chars = 0, [], 0
-        for i, text in enumerate(texts):
-            if group and chars + len(text) > _ROW_GROUP_CHARS:
-                yield first, group
-                first, group, chars = i, [], 0
-            group.append(text)
-            chars += len(text)
-        if group:
-            yield first, group
-
     def tfidf(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Per group of rows: first row, row count, and (row, gram, value) arrays.
 
         The value is (1 + ln tf) * idf over the L2 norm of its row.
         """
-        for first, group in self._row_groups(texts):
-            row, gram, tf = self._count_group(group)
+        for first, group in _row_groups(texts):
+            row, gram, tf = self.count_group(group)
             value = (1.0 + np.log(tf)) * self.idf[gram]
             norm = np.sqrt(np.bincount(row, value * value, minlength=len(group)))
             yield first, len(group), row, gram, value / norm[row] if len(row) else value

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from palisade import fixed_values as fv
 from palisade.functions.text import WHITESPACE_CLASS
 
-_PIECE_WORDS = 2000
-
 # Overlapping windows by look-ahead.  In a text with single spaces a window is a
 # gram of one padded word exactly if it has no space inside.  The search moves
 # by UTF-16 unit, so a window must not begin at the second half of a pair.
@@ -26,7 +24,7 @@ def words(text: Column) -> Column:
     return F.filter(split, lambda word: word != "")
 
 
-def grams_of_words(word_array: Column) -> Column:
+def _grams_of_words(word_array: Column) -> Column:
     spaced = F.concat(F.lit(" "), F.array_join(word_array, " "), F.lit(" "))
     return F.concat(*[F.regexp_extract_all(spaced, F.lit(w), F.lit(1)) for w in _WINDOWS])
 
@@ -34,16 +32,9 @@ def grams_of_words(word_array: Column) -> Column:
 def char_grams(text: Column) -> Column:
     """Every gram of the text with repeats: substrings of length 2 to 4 of each
     word with one space on both sides."""
-    return grams_of_words(words(text))
-
-
-def word_pieces(word_array: Column) -> Column:
-    """The words in arrays of bounded length, so that a long text need not have
-    all its grams in memory at once."""
-    firsts = F.sequence(F.lit(1), F.greatest(F.size(word_array), F.lit(1)), F.lit(_PIECE_WORDS))
-    return F.transform(firsts, lambda first: F.slice(word_array, first, F.lit(_PIECE_WORDS)))
+    return _grams_of_words(words(text))
 
 
 def distinct_char_grams(text: Column) -> Column:
     """The set of grams of the text; repeated words are cut up once."""
-    return F.array_distinct(grams_of_words(F.array_distinct(words(text))))
+    return F.array_distinct(_grams_of_words(F.array_distinct(words(text))))

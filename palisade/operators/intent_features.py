@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from palisade.functions.gram_encoder import gram_counts, gram_document_counts
+from palisade.session import ship_package
+
 
-from palisade.functions.grams import distinct_char_grams, grams_of_words, word_pieces, words
+def _lowered(text_col: str) -> Column:
+    return F.lower(F.make_valid_utf8(F.col(text_col)))
 
 
 def term_frequencies(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, gram, tf).  The keys must identify a row.
+    """(keys, gram, tf), counted inside each row and so without a shuffle.
 
-    The texts are spread by key first: a text is some twenty times smaller than
-    its table of counts, and the counting then needs no further shuffle.
+    The keys must identify a row.
     """
-    by_key = df.select(*keys, words(F.col(text_col)).alias("__words")).repartition(*keys)
-    pieces = by_key.select(*keys, F.explode(word_pieces(F.col("__words"))).alias("__piece"))
-    grams = pieces.select(*keys, F.explode(grams_of_words(F.col("__piece"))).alias("gram"))
-    return grams.groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
+    ship_package(df.sparkSession)
+    texts = df.filter(F.col(text_col).isNotNull()).select(
+        *keys, _lowered(text_col).alias("__text")
+    )
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row, gram, tf in gram_counts(batch["__text"].tolist()):
+                counts = batch[keys].iloc[row].reset_index(drop=True)
+                yield counts.assign(gram=gram, tf=tf)
+
+    schema = T.StructType(
+        [texts.schema[k] for k in keys]
+        + [T.StructField("gram", T.StringType()), T.StructField("tf", T.LongType())]
+    )
+    return texts.mapInPandas(count, schema)
 
 
 def document_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(gram, df).
 
-    Each text is reduced to its set of grams inside its own row, so no shuffle
-    is keyed by document: only per-task partial counts per gram move.
+    A text is reduced to its set of grams inside its own row and the sets are
+    added up per batch, so that no shuffle is keyed by document and only partial
+    counts per gram move.
     """
-    grams = df.select(F.explode(distinct_char_grams(F.col(text_col))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("df"))
+    ship_package(df.sparkSession)
+    texts = df.filter(F.col(text_col).isNotNull()).select(_lowered(text_col).alias("__text"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for grams, n in gram_document_counts(batch["__text"].tolist()):
+                yield pd.DataFrame({"gram": grams, "df": n})
+
+    partial = texts.mapInPandas(count, "gram string, df long")
+    return partial.groupBy("gram").agg(F.sum("df").alias("df"))
 
 
 def gram_idf(df: DataFrame, text_col: str = "text", n: int | None = None) -> DataFrame:

@@ -461,6 +461,10 @@ SELECT prompt_id, length(raw)::INTEGER AS raw_chars, md5(raw) AS raw_md5 FROM bu
   UNION ALL SELECT 'guarded', role, {DEFAULT.full("text", RULES_TEXT)} FROM prompts)
 SELECT path, role, {_exposure("prompt")} AS exposure, count(*) AS n FROM paths GROUP BY ALL"""
 
+    sql["gram_lists"] = f"""WITH {PROMPTS}, {_gram_counts("prompts", "prompt_id", "text")}
+SELECT prompt_id, sum(tf)::INTEGER AS n_grams, md5(string_agg(gram, '|' ORDER BY gram)) AS grams_md5
+FROM tf GROUP BY prompt_id"""
+
     sql["gram_tf"] = f"""WITH {_gram_counts("documents", "doc_id", "text")}
 SELECT doc_id, count(*) AS n_grams, sum(tf)::BIGINT AS total_tf, max(tf) AS max_tf FROM tf GROUP BY doc_id"""
 

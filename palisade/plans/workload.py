@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade import fixed_values as fv
 from palisade.functions import text as tx
 from palisade.functions.boundary import boundary_id
+from palisade.functions.grams import char_grams, distinct_char_grams
 from palisade.operators import evaluate, exposure, findings, intent_features
 from palisade.operators.encapsulate import (
     assemble,
@@ -268,6 +269,18 @@ def exposure_audit(spark: SparkSession, folder: str) -> DataFrame:
 # --- features, training, scoring ---------------------------------------------
 
 
+def gram_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The grams of each turn, cut up by built-in expressions."""
+    grams = prompts(spark, folder).select(
+        "prompt_id", char_grams(F.col("text")).alias("all"), distinct_char_grams(F.col("text")).alias("each")
+    )
+    return grams.select(
+        "prompt_id",
+        F.size("all").alias("n_grams"),
+        F.md5(F.array_join(F.array_sort("each"), "|")).alias("grams_md5"),
+    )
+
+
 def gram_tf(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(read_table(spark, folder, "documents"), "doc_id")
     counts = intent_features.term_frequencies(docs, ["doc_id"])
@@ -462,6 +475,7 @@ QUERIES = {
     "salted_boundaries": salted_boundaries,
     "bypass_prompts": bypass_prompts,
     "exposure_audit": exposure_audit,
+    "gram_lists": gram_lists,
     "gram_tf": gram_tf,
     "gram_idf": gram_idf,
     "class_weights": class_weights,

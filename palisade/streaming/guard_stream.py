@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from palisade.operators.intent_model import IntentModel
 from palisade.plans.guard import GuardConfig, guard
+from palisade.sources.requests import REQUEST_FIELDS, with_request_defaults
 
 
 def read_prompt_stream(
@@ -19,6 +20,17 @@ def read_prompt_stream(
     return reader.parquet(path)
 
 
+def read_request_stream(spark: SparkSession, path: str, key: str = "", files_per_batch: int = 1000) -> DataFrame:
+    """Request JSON files arriving in a folder, defaults filled in.
+
+    Pass the result to :func:`palisade.plans.guard.guard_requests`, which is as
+    stateless as :func:`guard_stream`.
+    """
+    fields = f"{key}, {REQUEST_FIELDS}" if key else REQUEST_FIELDS
+    reader = spark.readStream.schema(fields).option("maxFilesPerTrigger", files_per_batch)
+    return with_request_defaults(reader.json(path))
+
+
 def guard_stream(
     prompts: DataFrame,
     model: IntentModel,

@@ -184,6 +184,20 @@ def test_stream_equals_batch(spark, seed, tmp_path):
     assert streamed == sorted(guard(df, seed).collect(), key=key)
 
 
+def test_request_stream_equals_batch(spark, seed, tmp_path):
+    path = write_json(tmp_path, [
+        {"prompt_id": 1, "user_input": "hello", "tool_context": [{"content": "c", "source": "s"}]},
+        {"prompt_id": 2, "user_input": fv.DEMO_PROMPTS[3], "bypass_proxy": True},
+        {"prompt_id": 3, "user_input": fv.DEMO_PROMPTS[7], "intent_threshold": 0.9},
+    ])
+    stream = guard_requests(gs.read_request_stream(spark, path, "prompt_id long"), seed)
+    gs.start(stream, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
+    batch = guard_requests(rq.read_requests(spark, path, key="prompt_id long"), seed)
+    key = lambda r: r["prompt_id"]
+    streamed = spark.read.schema(batch.schema).parquet(str(tmp_path / "out")).collect()
+    assert sorted(streamed, key=key) == sorted(batch.collect(), key=key)
+
+
 SCORED = [(i % 3 == 0, (i * 37 % 101) / 100, "ab"[i % 2]) for i in range(300)]
 
 

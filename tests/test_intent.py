@@ -88,6 +88,25 @@ def test_encoder_counts_across_blocks(monkeypatch, block, group):
         assert dots[i] == pytest.approx(sum(v / norm * weights[k] for k, v in expected.items()), abs=1e-12)
 
 
+@pytest.mark.parametrize("limit", [0xFFFF, 5])
+@pytest.mark.parametrize("block, group", [(ge._BLOCK_CHARS, ge._ROW_GROUP_CHARS), (7, 20)])
+def test_counting_without_a_vocabulary(monkeypatch, limit, block, group):
+    monkeypatch.setattr(ge, "MAX_ALPHABET", limit)  # 5: too many characters for ids
+    monkeypatch.setattr(ge, "_BLOCK_CHARS", block)
+    monkeypatch.setattr(ge, "_ROW_GROUP_CHARS", group)
+    texts = [t.lower() for t in TEXTS] + ["", "  "]
+    counted = [Counter() for _ in texts]
+    for rows, grams, tf in ge.gram_counts(texts):
+        for row, gram, n in zip(rows.tolist(), grams, tf.tolist()):
+            counted[row][gram] += n
+    assert counted == [grams_of(t) for t in texts]
+    documents = Counter()
+    for grams, n in ge.gram_document_counts(texts):
+        documents.update(dict(zip(grams, n.tolist())))
+    assert documents == Counter(g for t in texts for g in grams_of(t))
+    assert list(ge.gram_counts([])) == []
+
+
 def test_encoder_with_no_texts_and_no_hits():
     encoder = ge.GramEncoder(["zz"], np.ones(1), np.ones(1))
     assert encoder.dot([]).tolist() == [] and encoder.dot(["", "abc"]).tolist() == [0.0, 0.0]
