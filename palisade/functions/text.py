@@ -64,6 +64,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_characters(fv.PYTHON_WHITESPACE)))
 
 
+def clean(text: Column) -> Column:
+    """The text without format characters and outer white space; words are not touched."""
+    return strip(drop_format_chars(text))
+
+
 def js_trim(text: Column) -> Column:
     """JavaScript's ``String.trim``."""
     return F.btrim(text, F.lit(_characters(fv.JAVASCRIPT_WHITESPACE)))

@@ -72,7 +72,8 @@ def scan(
     """Add a struct column with original_text, cleaned_text, blocked and findings.
 
     Rules read the raw text; cleaning comes after.  Null text gives a null
-    struct.  No shuffle, no Python.
+    struct.  No shuffle, no Python.  All rules are evaluated whichever fields are
+    read; for the cleaned text alone use :func:`palisade.functions.text.clean`.
     """
     kept = [F.col(f"`{c}`") for c in df.columns]
     text = F.col(f"`{text_col}`")
@@ -108,7 +109,7 @@ def scan(
     )
     result = F.struct(
         text.alias("original_text"),
-        tx.strip(tx.drop_format_chars(text)).alias("cleaned_text"),
+        tx.clean(text).alias("cleaned_text"),
         (tx.as_column(block_on_high) & any_high).alias("blocked"),
         F.array_compact(F.array(*[finding(rule) for rule in fv.RULES])).alias("findings"),
     )

@@ -149,10 +149,9 @@ def rule_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    return scan(documents(spark, folder)).select(
-        "doc_id",
-        F.md5("sanitization.cleaned_text").alias("cleaned_md5"),
-        F.length("sanitization.cleaned_text").alias("cleaned_chars"),
+    cleaned = tx.clean(F.col("text"))
+    return documents(spark, folder).select(
+        "doc_id", F.md5(cleaned).alias("cleaned_md5"), F.length(cleaned).alias("cleaned_chars")
     )
 
 
@@ -302,8 +301,7 @@ def class_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cleaned_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    scanned = scan(prompts(spark, folder))
-    return scanned.select("prompt_id", "role", F.col("sanitization.cleaned_text").alias("text"))
+    return prompts(spark, folder).withColumn("text", tx.clean(F.col("text")))
 
 
 def _scored_view(scored: DataFrame, key: str) -> DataFrame:
