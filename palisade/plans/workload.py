@@ -109,6 +109,10 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return labelled_documents(docs, read_table(spark, folder, "labels"))
 
 
+def _tool_count() -> Column:
+    return F.when(F.col("tool_context").isNull(), 0).otherwise(F.size("tool_context"))
+
+
 def _names() -> Column:
     return F.array_join(rule_names(), ",")
 
@@ -196,7 +200,7 @@ def assemble_prompt(spark: SparkSession, folder: str) -> DataFrame:
     with_tools = attach_tool_blocks(prompts(spark, folder), page_blocks(spark, folder))
     return assemble(with_tools, "text", "tool_context").select(
         "prompt_id",
-        F.coalesce(F.size("tool_context"), F.lit(0)).alias("n_tools"),
+        _tool_count().alias("n_tools"),
         F.length("final_prompt").alias("prompt_chars"),
         F.md5("final_prompt").alias("prompt_md5"),
         F.md5(tx.excerpt(F.col("final_prompt"))).alias("excerpt_md5"),
@@ -224,7 +228,7 @@ def keyword_tools(spark: SparkSession, folder: str) -> DataFrame:
     )
     return with_tools.select(
         "prompt_id",
-        F.coalesce(F.size("tool_context"), F.lit(0)).alias("n_tools"),
+        _tool_count().alias("n_tools"),
         F.md5(F.array_join("tool_context.content", "\n")).alias("tools_md5"),
     )
 

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from palisade.operators.encapsulate import (
 )
 from palisade.operators.exposure import exposure_audit, exposure_class
 
-Z = "​"
+Z = "\u200b"
 DEFAULT_ID = "357b9c0d6562"
 BLOCK = "prompt_id long, pos int, trust_level string, content string, source string"
 
@@ -52,6 +54,19 @@ def test_escaping(spark):
     assert got == list(cases.values())
 
 
+def test_escaping_agrees_with_python_on_generated_texts(spark):
+    rng = random.Random(2)
+    pieces = ["[[", "]]", "[", "]", "/", "USER_", "tool_", "System_", "ab", "AB", "<", ">", "|", "im_start", "IM_END",
+              "system", "\u017fystem", "INST", "<<SYS>>", "</SYS>>", "<|im_end|>", "[[/user_AB]]", "[/INST]", " ", "\n", "$1", "\\"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    own = re.compile(r"\[\[/?(?:SYSTEM|TOOL|USER)_ab\]\]", re.I)
+    foreign = re.compile(fv.CONTROL_TOKENS, re.I)
+    expected = [own.sub(lambda m: m[0].replace("[", Z + "["), t) for t in texts]
+    expected = [foreign.sub(lambda m: f"[ESCAPED:{m[0]}]", t) for t in expected]
+    assert sum(t != e for t, e in zip(texts, expected)) > 300
+    assert one_column(spark, texts, lambda t: bd.escape_untrusted(t, F.lit("ab"))) == expected
+
+
 def test_wrap_escapes_untrusted_levels_only(spark):
     def wrapped(level, source=None):
         return one_column(
