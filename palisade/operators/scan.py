@@ -36,10 +36,16 @@ def _any_of(conditions: list[Column]) -> Column:
     return reduce(or_, conditions)
 
 
+# Java's own \b counts joiners, combining marks and every connector as word
+# characters; the rules mean letters, numbers and the underscore.
+_WORD = r"[\p{L}\p{N}_]"
+_WORD_BORDER = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
 def _java_pattern(rule: fv.Rule) -> str:
-    # d: '.' stops at \n only; i and U: Unicode case folding, \b and \s.
+    # d: '.' stops at \n only; i and U: Unicode case folding and \s.
     flags = "" if rule.name in fv.CASE_SENSITIVE_RULES else "(?idU)"
-    return flags + rule.pattern
+    return flags + rule.pattern.replace(r"\b", _WORD_BORDER)
 
 
 def _hit_column(rule_name: str) -> str:
