@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators.findings import explode_findings
+from palisade.operators.scan import is_suspicious
 
 
 def response(guarded: DataFrame) -> DataFrame:
@@ -28,3 +29,9 @@ def write_findings(scanned: DataFrame, keys: list[str], path: str, mode: str = "
     """Findings in long form, one folder per rule."""
     findings = explode_findings(scanned, keys)
     findings.write.partitionBy("rule_name").mode(mode).parquet(path)
+
+
+def write_quarantine(scanned: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """All texts in one pass, in the folders suspicious=false and suspicious=true."""
+    marked = scanned.withColumn("suspicious", is_suspicious())
+    marked.filter(F.col("suspicious").isNotNull()).write.partitionBy("suspicious").mode(mode).parquet(path)

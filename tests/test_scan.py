@@ -16,6 +16,7 @@ from palisade.operators.findings import (
 )
 from palisade.operators.scan import is_suspicious, scan
 from palisade.sources.rules import rules_table
+from palisade.sources.sinks import write_quarantine
 
 ZWSP = "\u200b"
 
@@ -291,6 +292,14 @@ def test_quarantine_is_a_partition_of_the_texts(scanned):
     assert clean.filter(is_suspicious()).count() == 0 and held.filter(~is_suspicious()).count() == 0
 
 
+def test_quarantine_folders(spark, scanned, tmp_path):
+    write_quarantine(scanned, str(tmp_path / "q"))
+    clean, held = quarantine_split(scanned)
+    for folder, expected in [("false", clean), ("true", held)]:
+        written = spark.read.parquet(str(tmp_path / "q" / f"suspicious={folder}"))
+        assert sorted(r["id"] for r in written.collect()) == sorted(r["id"] for r in expected.collect())
+
+
 def test_scan_is_one_narrow_stage_without_python(spark, plan_of):
     plan = plan_of(scan(spark.createDataFrame([("a",)], "text string").coalesce(1)))
     assert "Exchange" not in plan and "Python" not in plan
