@@ -7,6 +7,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,7 +29,7 @@ from palisade.sources.corpus import seed_samples
 MAX_BROADCAST_GRAMS = 2_000_000
 
 _INDEX_BUCKETS = 256
-_ENTRIES_PER_TASK = 1_000_000
+_ENTRIES_PER_TASK = 4_000_000
 
 
 @dataclass
@@ -178,9 +179,12 @@ def train(
     else:
         indexed = materialise(index_grams(vocabulary), "indexed_vocabulary")
         vectors = _vectors_by_join(weighted, indexed, n_grams)
-    # The fit runs a job per iteration, so a small set should not be many tasks.
-    # coalesce() only ever lowers the number of partitions.
-    vectors = vectors.coalesce(1 + n_entries // _ENTRIES_PER_TASK)
+    # The fit runs a job per iteration: keep the vectors, and do not cut a small
+    # set into many tasks.  coalesce() only ever lowers the number of partitions.
+    # Counting first encodes the texts with all tasks.
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    vectors.count()
+    compact = vectors.coalesce(1 + n_entries // _ENTRIES_PER_TASK)
 
     fitted = LogisticRegression(
         regParam=1.0 / (c * n_samples),
@@ -189,8 +193,9 @@ def train(
         weightCol="class_weight",
         maxIter=max_iter,
         tol=tol,
-    ).fit(vectors)
+    ).fit(compact)
     coefficients = fitted.coefficients.toArray()
+    vectors.unpersist()
 
     if encoder is not None:
         grams = spark.createDataFrame(
