@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import byte_bpe, exact_dedup, packing, quality_rules, token_files, warc
+from palisade.llm import byte_bpe, exact_dedup, packing, quality_rules, simhash, token_files, toxicity, warc
 from palisade.sources.tables import read_table
 
 
@@ -20,6 +20,11 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, _tokenizer("byte_bpe_50k.json"), _pattern(), end_id=2, capacity=1024)
@@ -46,6 +51,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
     return rows.select(
@@ -54,11 +64,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
