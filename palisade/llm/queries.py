@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import byte_bpe, exact_dedup, packing, quality_rules, simhash, token_files, toxicity, warc
+import corpus_pipeline
+from palisade.llm import byte_bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc
 from palisade.sources.tables import read_table
 
 
@@ -51,6 +52,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -70,8 +75,10 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
