@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from palisade.llm import byte_bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc
+from palisade.llm import byte_bpe, exact_dedup, packing, pitman_yor, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc
 from palisade.sources.tables import read_table
 
 
@@ -37,6 +37,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return byte_bpe.digests(byte_bpe.encode_documents(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern()))
@@ -72,6 +76,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
