@@ -156,7 +156,7 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 _STATE = (
     "bucket int, n_words long, n_cells long, cells binary, seats binary, samples array<binary>, "
-    "customers array<long>, tables array<long>, parent_tables long, ones array<long>"
+    "contexts array<int>, customers array<long>, tables array<long>, parent_tables long, ones array<long>"
 )
 
 
@@ -185,6 +185,8 @@ class _State:
 
     def row(self, bucket: int, samples: list[bytes]) -> pd.DataFrame:
         sums = lambda x: np.bincount(self.context, x, CONTEXTS).astype(np.int64)
+        customers, tables = sums(self.counts), sums(self.tables)
+        met = np.flatnonzero(customers)
         per_word = np.bincount(self.word, self.tables, len(self.hashes))
         ones = [int((self.counts == 1).sum()), int((self.counts == 2).sum()), int((per_word == 1).sum()), int((per_word == 2).sum())]
         return pd.DataFrame(
@@ -195,8 +197,9 @@ class _State:
                 "cells": [_squeeze(self.hashes, np.bincount(self.word, minlength=len(self.hashes)).astype("<u2"), self.context.astype("u1"), self.counts.astype("<u8"))],
                 "seats": [self.seats()],
                 "samples": [samples],
-                "customers": [sums(self.counts)],
-                "tables": [sums(self.tables)],
+                "contexts": [met],
+                "customers": [customers[met]],
+                "tables": [tables[met]],
                 "parent_tables": [int(self.parents.sum())],
                 "ones": [ones],
             }
@@ -282,12 +285,12 @@ def _sweep(totals: Totals, number: int):
 
 
 def _totals(states: DataFrame, last: Totals | None = None) -> Totals:
-    sums = states.select(F.posexplode(F.arrays_zip("customers", "tables")).alias("context", "x")).groupBy("context")
+    sums = states.select(F.explode(F.arrays_zip("contexts", "customers", "tables")).alias("x")).groupBy("x.contexts")
     sums = sums.agg(F.sum("x.customers").alias("c"), F.sum("x.tables").alias("t")).collect()
     rest = states.agg(F.sum("parent_tables"), F.sum("n_words"), *[F.sum(F.get("ones", F.lit(i))) for i in range(4)]).first()
     customers, tables = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
     for r in sums:
-        customers[r["context"]], tables[r["context"]] = r["c"], r["t"]
+        customers[r["contexts"]], tables[r["contexts"]] = r["c"], r["t"]
     parents, words, n1, n2, m1, m2 = [x or 0 for x in rest]
     # The usual estimate from what occurs once and twice, kept from the first counts on.
     estimate = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
