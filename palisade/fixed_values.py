@@ -19,7 +19,6 @@ class Rule(NamedTuple):
 # --- fixed values: severities ------------------------------------------------
 
 LOW, MEDIUM, HIGH = "low", "medium", "high"
-SEVERITY_RANK = {LOW: 1, MEDIUM: 2, HIGH: 3}
 
 # --- fixed values: detectors, in report order --------------------------------
 
@@ -180,6 +179,8 @@ BENIGN_SEEDS = [
 SANITIZER_REASON = "Blocked by input sanitizer: "
 INTENT_REASON_FORMAT = "Blocked by intent classifier (adversarial_score=%.2f)"
 BYPASS_REASON = "Proxy bypassed by user."
+# Our own: a request that could not be read.
+MALFORMED_REASON = "Malformed request."
 LAYER1_LABEL = "Blocked by Layer 1 (Input Sanitizer)"
 LAYER3_LABEL = "Blocked by Layer 3 (Intent Classifier)"
 RISK_HIGH_ABOVE, RISK_ELEVATED_ABOVE = 0.7, 0.45

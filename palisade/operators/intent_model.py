@@ -22,7 +22,7 @@ from palisade.operators.intent_features import (
     term_frequencies,
 )
 from palisade.session import materialise, ship_package
-from palisade.sources.corpus import seed_samples
+from palisade.sources.corpus import sides_or_seeds
 
 # A vocabulary up to this size (about 50 MB as arrays) is sent to every task.
 # Beyond it training and scoring join on the gram instead.
@@ -146,15 +146,20 @@ def train(
     max_iter: int = fv.MAX_ITERATIONS,
     tol: float = 1e-8,
     max_broadcast_grams: int = MAX_BROADCAST_GRAMS,
+    adversarial: DataFrame | None = None,
+    benign: DataFrame | None = None,
 ) -> IntentModel:
-    """Fit the intent model on ``samples(text, label)``; no samples means the seeds.
+    """Fit the intent model on ``samples(text, label)``, or on two tables of ``text``.
+
+    Without samples, each of ``adversarial`` and ``benign`` that isn't given, or
+    is empty, is replaced by the seeds of its side.
 
     TF-IDF over character grams, then L2-regularised logistic regression with
     balanced class weights.  MLlib divides the loss by the sum of weights, which
     balanced weights make the number of samples, so its penalty is 1 / (c * n).
     """
     if samples is None:
-        samples = seed_samples(spark or SparkSession.active())
+        samples = sides_or_seeds(spark or SparkSession.active(), adversarial, benign)
     samples = samples.select("text", F.col("label").cast("double").alias("label")).filter(
         F.col("text").isNotNull() & F.col("label").isNotNull()
     )

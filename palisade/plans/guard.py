@@ -107,11 +107,15 @@ def guard_requests(requests: DataFrame, model: IntentModel) -> DataFrame:
     """Guard a batch of requests, each row with its own settings and tool blocks.
 
     Rows with ``bypass_proxy`` are passed on with the unprotected prompt and are
-    neither scanned nor scored.
+    neither scanned nor scored.  Malformed requests are refused: not scanned, not
+    allowed whatever they ask for, and without a prompt.
     """
-    bypass = F.col("bypass_proxy")
+    if "malformed" not in requests.columns:
+        requests = requests.withColumn("malformed", F.lit(False))
+    malformed = F.coalesce("malformed", F.lit(False))
+    bypass = F.col("bypass_proxy") & ~malformed
     # A null text is neither scanned nor scored.
-    staged = requests.withColumn("__guarded", F.when(~bypass, F.col("user_input")))
+    staged = requests.withColumn("__guarded", F.when(~bypass & ~malformed, F.col("user_input")))
     guarded = guard(staged, model, GuardConfig.from_columns(), "__guarded", "tool_context")
     raw = unprotected_prompt(F.col("user_input"), F.col("tool_context"), F.col("system_rules"))
     untouched = F.struct(
@@ -127,9 +131,9 @@ def guard_requests(requests: DataFrame, model: IntentModel) -> DataFrame:
     )
     return guarded.select(
         *[F.col(f"`{c}`") for c in requests.columns],
-        F.when(bypass, True).otherwise(F.col("allowed")).alias("allowed"),
+        F.when(malformed, False).when(bypass, True).otherwise(F.col("allowed")).alias("allowed"),
         bypass.alias("bypass_active"),
-        F.when(bypass, fv.BYPASS_REASON).otherwise(F.col("reason")).alias("reason"),
+        F.when(malformed, fv.MALFORMED_REASON).when(bypass, fv.BYPASS_REASON).otherwise(F.col("reason")).alias("reason"),
         F.when(bypass, untouched).otherwise(F.col("sanitization")).alias("sanitization"),
         F.when(bypass, no_intent).otherwise(F.col("intent")).alias("intent"),
         F.when(bypass, raw).otherwise(F.col("final_prompt")).alias("final_prompt"),
@@ -142,7 +146,8 @@ def stage_status(block_on_intent: bool | Column = True, bypass: bool | Column =
 
     sanitizer: passed, warned, blocked; intent: passed, blocked, disabled,
     pending (never reached); encapsulation: protected, aborted; delivery:
-    completed, blocked.  A bypassed row has every layer bypassed.
+    completed, blocked.  A bypassed row has every layer bypassed; null for rows
+    without text and for malformed requests.
     """
     blocked, allowed = F.col("sanitization.blocked"), F.col("allowed")
     bypassed, enabled = as_column(bypass), as_column(block_on_intent)
@@ -159,8 +164,9 @@ def stage_status(block_on_intent: bool | Column = True, bypass: bool | Column =
     )
     encapsulation = status((allowed, "protected"), otherwise="aborted")
     delivery = F.when(bypassed | allowed, "completed").otherwise("blocked")
+    # A request that was refused unread has reached no layer.
     return F.when(
-        allowed.isNotNull(),
+        allowed.isNotNull() & F.col("sanitization").isNotNull(),
         F.struct(
             sanitizer.alias("sanitizer"),
             layer3.alias("intent"),

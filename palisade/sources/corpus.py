@@ -11,7 +11,6 @@ from palisade import fixed_values as fv
 def seed_samples(spark: SparkSession) -> DataFrame:
     """The built-in samples: label 1 adversarial, 0 benign."""
 
-
     def texts(values: list[str]) -> DataFrame:
         array = F.array(*[F.lit(v) for v in values])
         return spark.range(0, 1, 1, 1).select(F.explode(array).alias("text"))
@@ -39,3 +38,15 @@ def corpus_or_seeds(spark: SparkSession, samples: DataFrame | None) -> DataFrame
     if samples is None or samples.isEmpty():
         return seed_samples(spark)
     return samples
+
+
+def sides_or_seeds(
+    spark: SparkSession, adversarial: DataFrame | None, benign: DataFrame | None
+) -> DataFrame:
+    """Labelled samples of two tables of ``text``; an absent or empty one is replaced by its seeds."""
+    seeds = seed_samples(spark)
+
+    def side(given: DataFrame | None, label: int) -> DataFrame:
+        return seeds.filter(F.col("label") == label) if given is None or given.isEmpty() else given
+
+    return labelled_union(side(adversarial, 1), side(benign, 0))

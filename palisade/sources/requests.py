@@ -15,6 +15,9 @@ REQUEST_FIELDS = (
     "bypass_proxy boolean"
 )
 
+#: Where Spark's JSON parser leaves a body that it can't read.
+_CORRUPT = "_corrupt_record"
+
 
 def tool_context_of(raw: Column) -> Column:
     """Blocks with content, all at trust level tool."""
@@ -30,7 +33,13 @@ def tool_context_of(raw: Column) -> Column:
 
 
 def with_request_defaults(requests: DataFrame) -> DataFrame:
-    """Fill absent request fields; other columns are kept."""
+    """Fill absent request fields; other columns are kept.
+
+    A request whose body couldn't be read is ``malformed``: its fields get the
+    defaults too, but the guard refuses it.
+    """
+    if "malformed" not in requests.columns:
+        requests = requests.withColumn("malformed", F.lit(False))
     no_tools = F.array().cast("array<struct<source:string,content:string>>")
     return requests.withColumns(
         {
@@ -48,17 +57,32 @@ def with_request_defaults(requests: DataFrame) -> DataFrame:
 def read_requests(spark: SparkSession, path: str, fmt: str = "json", key: str = "") -> DataFrame:
     """Read a request batch with an explicit schema.
 
-    ``key`` declares further fields, such as ``"prompt_id long"``.
+    ``key`` declares further fields, such as ``"prompt_id long"``.  Broken JSON
+    is marked ``malformed`` and kept in ``malformed_body``.
     """
     fields = f"{key}, {REQUEST_FIELDS}" if key else REQUEST_FIELDS
-    return with_request_defaults(spark.read.schema(fields).format(fmt).load(path))
+    if fmt != "json":
+        return with_request_defaults(spark.read.schema(fields).format(fmt).load(path))
+    reader = spark.read.schema(f"{fields}, {_CORRUPT} string").option("columnNameOfCorruptRecord", _CORRUPT)
+    requests = reader.format(fmt).load(path).withColumnRenamed(_CORRUPT, "malformed_body")
+    return with_request_defaults(requests.withColumn("malformed", F.col("malformed_body").isNotNull()))
 
 
 def parse_requests(df: DataFrame, json_col: str) -> DataFrame:
-    """Requests from a column of JSON text; other columns are kept."""
-    parsed = df.withColumn("__request", F.from_json(json_col, REQUEST_FIELDS))
+    """Requests from a column of JSON text; other columns are kept.
+
+    A missing body, broken JSON and JSON other than an object are ``malformed``;
+    ``malformed_body`` keeps what was sent.
+    """
+    body = F.col(json_col)
+    fields = f"{REQUEST_FIELDS}, {_CORRUPT} string"
+    parsed = df.withColumn("__request", F.from_json(body, fields, {"columnNameOfCorruptRecord": _CORRUPT}))
+    broken = F.col(f"__request.{_CORRUPT}").isNotNull() | F.col("__request").isNull() | ~F.coalesce(body.rlike(r"^\s*\{"), F.lit(False))
     others = [F.col(f"`{c}`") for c in df.columns if c != json_col]
-    return with_request_defaults(parsed.select(*others, "__request.*"))
+    parsed = parsed.select(
+        *others, "__request.*", broken.alias("malformed"), F.when(broken, body).alias("malformed_body")
+    )
+    return with_request_defaults(parsed.drop(_CORRUPT))
 
 
 def drop_blank_prompts(prompts: DataFrame, text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from palisade.operators import intent_features as feats
 from palisade.operators import intent_model as im
 from palisade.operators.intent_score import intent, score, score_by_join
 from palisade.plans.oracle import seed_weights
-from palisade.sources.corpus import corpus_or_seeds, seed_samples
+from palisade.sources.corpus import corpus_or_seeds, seed_samples, sides_or_seeds
 from palisade.sources.model_store import load_model, save_model
 
 TEXTS = [
@@ -211,3 +211,13 @@ def test_invalid_utf8_is_scored_like_its_replacement(spark, seed):
     df = spark.sql("select 1 as id, cast(unhex('61FF62') as string) as text union all select 2, 'a\ufffdb'")
     first, second = score(df, seed).orderBy("id").collect()
     assert first["score"] == second["score"]
+
+
+def test_one_side_given_the_other_from_the_seeds(spark):
+    mine = spark.createDataFrame([("zqxj zqxj",), ("zqxj wvk",)], "text string")
+    given = sides_or_seeds(spark, mine, None)
+    assert {r["text"] for r in given.filter("label = 1").collect()} == {"zqxj zqxj", "zqxj wvk"}
+    assert given.filter("label = 0").count() == len(fv.BENIGN_SEEDS)
+    assert sides_or_seeds(spark, mine.limit(0), None).count() == len(fv.BENIGN_SEEDS) + len(fv.ADVERSARIAL_SEEDS)
+    model = im.train(spark=spark, adversarial=mine)
+    assert model.n_samples == 2 + len(fv.BENIGN_SEEDS)
