@@ -156,10 +156,11 @@ def test_packing_over_a_table(documents):
 
 
 def test_packing_merges_leftovers_of_many_partitions(spark):
-    # 30 partitions, each with one piece of 600 and one of 400: every pair shares a sequence only across levels.
+    # Few pieces in each of many partitions: most sequences fill up only across levels.  30 is the least possible;
+    # three short pieces that meet in one partition may already have cost one more.
     rows = [(i, 700 if i % 2 else 300) for i in range(60)]
     pieces = spark.createDataFrame(rows, "doc_id long, length long").repartition(30)
-    assert check_packing(packing.pack(pieces, 1000).collect(), 1000) == 30
+    assert check_packing(packing.pack(pieces, 1000).collect(), 1000) <= 31
     assert check_packing(packing.pack(pieces.limit(0), 1000).collect(), 1000) == 0
 
 
