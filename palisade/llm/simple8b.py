@@ -13,6 +13,31 @@ import numpy as np
 #: Selector -> (values in a word, bits of each).  0 is the escape.
 SELECTORS = [(1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
+#: First value too wide for each selector but the escape, narrow selectors first.
+_TOO_WIDE = np.array([1 << bits for _, bits in SELECTORS[1:]], np.uint64)
+_MOST = max(n for n, _ in SELECTORS)
+
+
+def _choices(values: np.ndarray) -> np.ndarray:
+    """The best selector at each place: the one that takes the longest run of narrow enough values.
+
+    The widest value of each run comes from two shorter runs; where no run of a
+    length fits, no longer one does.
+    """
+    n = len(values)
+    widest = np.zeros(n + _MOST, np.uint8)  # of the run at each place, as the narrowest selector that takes it
+    widest[:n] = np.searchsorted(_TOO_WIDE, values, "right") + 1
+    choice, run = np.zeros(n, np.uint8), 1
+    for selector in range(len(SELECTORS) - 1, 0, -1):
+        more = SELECTORS[selector][0] - run
+        if more:
+            widest = np.maximum(widest[: len(widest) - more], widest[more:])
+            run += more
+        fits = widest[:n] <= selector
+        if not fits.any():
+            break
+        choice[fits] = selector
+    return choice
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -21,13 +46,7 @@ def pack(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64)
-    # The best selector at each place: the first that takes the run of narrow enough values.
-    choice = np.zeros(n, np.uint8)
-    for selector in range(len(SELECTORS) - 1, 0, -1):
-        count, bits = SELECTORS[selector]
-        wide = np.flatnonzero(values >> np.uint64(bits))
-        nearest = np.append(wide, n + 60)[np.searchsorted(wide, np.arange(n))] if len(wide) else np.full(n, n + 60)
-        choice[nearest - np.arange(n) >= count] = selector
+    choice = _choices(values)
     steps = _COUNTS[choice].tolist()
     starts, at = [], 0
     add = starts.append
@@ -39,21 +58,25 @@ def pack(values: np.ndarray) -> np.ndarray:
     length = 1 + (chosen == 0)
     place = np.cumsum(length) - length
     words = np.zeros(int(length.sum()), np.uint64)
-    padded = np.append(values, np.zeros(60, np.uint64))
-    for selector, (count, bits) in enumerate(SELECTORS):
+    padded = np.append(values, np.zeros(_MOST, np.uint64))
+    for selector in np.unique(chosen).tolist():
         own = np.flatnonzero(chosen == selector)
-        if not len(own):
-            continue
         if selector == 0:
             words[place[own] + 1] = padded[starts[own]]
             continue
-        word = np.full(len(own), selector << 60, np.uint64)
-        for k in range(count):
-            word |= padded[starts[own] + k] << np.uint64(k * bits)
-        words[place[own]] = word
+        each, shifts = _lanes(selector)
+        word = np.bitwise_or.reduce(padded[starts[own] + each] << shifts, axis=0)
+        words[place[own]] = word | np.uint64(selector << 60)
     return words
 
 
+def _lanes(selector: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and shifts of the values in a word, as columns."""
+    count, bits = SELECTORS[selector]
+    each = np.arange(count)[:, None]
+    return each, (each * bits).astype(np.uint64)
+
+
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` values."""
     words = np.asarray(words, np.uint64)
@@ -70,14 +93,12 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     counts = _COUNTS[chosen]
     place = np.cumsum(counts) - counts
     out = np.zeros(int(counts.sum()), np.uint64)
-    for selector, (count, bits) in enumerate(SELECTORS):
+    for selector in np.unique(chosen).tolist():
         own = np.flatnonzero(chosen == selector)
-        if not len(own):
-            continue
         if selector == 0:
             out[place[own]] = words[heads[own] + 1]
             continue
-        mask = np.uint64((1 << bits) - 1)
-        for k in range(count):
-            out[place[own] + k] = (words[heads[own]] >> np.uint64(k * bits)) & mask
+        each, shifts = _lanes(selector)
+        mask = np.uint64((1 << SELECTORS[selector][1]) - 1)
+        out[place[own] + each] = (words[heads[own]] >> shifts) & mask
     return out[:n]
