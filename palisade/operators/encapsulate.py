@@ -60,13 +60,15 @@ def attach_tool_blocks(
     marked and left without context, and :func:`prompt_segments` gives them
     whole, in rows.  ``only_where`` limits which prompts receive blocks; it is a
     condition of the join, since a null key for the others would gather them all
-    in one partition.
+    in one partition.  Blocks that no prompt receives are dropped before any is
+    collected.
     """
+    wanted = F.lit(True) if only_where is None else only_where
+    tool_blocks = tool_blocks.join(prompts.filter(wanted).select(key), key, "left_semi")
     oversized = F.broadcast(oversized_contexts(tool_blocks, key, max_bytes))
     fitting = tool_blocks.join(oversized, key, "left_anti")
     contexts = collect_tool_blocks(fitting, key).withColumnRenamed(key, "__tool_key")
     large = oversized.select(F.col(key).alias("__large_key"))
-    wanted = F.lit(True) if only_where is None else only_where
     return (
         prompts.join(contexts, (F.col(key) == F.col("__tool_key")) & wanted, "left")
         .join(F.broadcast(large), (F.col(key) == F.col("__large_key")) & wanted, "left")

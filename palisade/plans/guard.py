@@ -74,6 +74,17 @@ def decide(
     )
 
 
+def _refuse_without_context(decided: DataFrame) -> DataFrame:
+    """A prompt whose tool text isn't in its row has no prompt to deliver: it is not allowed."""
+    missing = F.col("context_too_large")
+    return decided.withColumns(
+        {
+            "reason": F.when(F.col("allowed") & missing, fv.CONTEXT_REASON).otherwise(F.col("reason")),
+            "allowed": F.col("allowed") & ~missing,
+        }
+    )
+
+
 def guard(
     prompts: DataFrame,
     model: IntentModel,
@@ -86,12 +97,15 @@ def guard(
 
     With tool blocks in an array column and a model within the broadcast bound
     this is one stage without a shuffle.  Texts the scan blocked are not scored.
-    ``keys`` are needed only for models too large to broadcast.
+    ``keys`` are needed only for models too large to broadcast.  Rows marked
+    ``context_too_large`` are refused; ``prompt_segments`` gives their prompts.
     """
     scanned = scan(prompts, text_col, config.block_on_sanitizer)
     scoreable = F.when(~F.col("sanitization.blocked"), F.col("sanitization.cleaned_text"))
     scored = score(scanned, model, scoreable, keys, into="__score")
     decided = decide(scored, config.intent_threshold, config.block_on_intent)
+    if tool_context and "context_too_large" in decided.columns:
+        decided = _refuse_without_context(decided)
     assembled = assemble(
         decided,
         user_text=F.col("sanitization.cleaned_text"),
@@ -159,8 +173,9 @@ def stage_status(block_on_intent: bool | Column = True, bypass: bool | Column =
         return out.otherwise(otherwise)
 
     sanitizer = status((blocked, "blocked"), (is_suspicious(), "warned"), otherwise="passed")
+    no_context = F.coalesce(F.col("reason") == fv.CONTEXT_REASON, F.lit(False))
     layer3 = status(
-        (blocked, "pending"), (~enabled, "disabled"), (~allowed, "blocked"), otherwise="passed"
+        (blocked, "pending"), (~enabled, "disabled"), (~allowed & ~no_context, "blocked"), otherwise="passed"
     )
     encapsulation = status((allowed, "protected"), otherwise="aborted")
     delivery = F.when(bypassed | allowed, "completed").otherwise("blocked")
@@ -178,8 +193,9 @@ def stage_status(block_on_intent: bool | Column = True, bypass: bool | Column =
 
 def blocked_at() -> Column:
     """Label of the layer that blocked the row; null where it passed."""
+    no_context = F.coalesce(F.col("reason") == fv.CONTEXT_REASON, F.lit(False))
     return F.when(F.col("sanitization.blocked"), fv.LAYER1_LABEL).when(
-        ~F.col("allowed"), fv.LAYER3_LABEL
+        ~F.col("allowed") & ~no_context, fv.LAYER3_LABEL
     )
 
 

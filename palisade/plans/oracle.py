@@ -105,14 +105,21 @@ LABELLED = """labelled AS (
   SELECT d.doc_id, d.lang, d.text, l.toxic AS label
   FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL)"""
 
+
+def _turn_key(item: str) -> str:
+    n = "(SELECT max(conv_id) + 1 FROM conversations)"
+    return f"({item} % {n}) * 8 + ({item} // {n}) % 2"
+
+
 _FORGED = ", ".join(quote(t) for t in FORGED_TAGS)
 PAGE_BLOCKS = f"""blocks AS (
-  SELECT (page_id // 3) * 8 AS prompt_id, page_id AS pos,
-         html || ([{_FORGED}])[page_id % 3 + 1] AS content, url AS source
+  SELECT {_turn_key("page_id")} AS prompt_id, page_id AS pos,
+         html || ([{_FORGED}])[page_id % 3 + 1] AS content,
+         CASE page_id % 5 WHEN 1 THEN url || '?q=''a\\b''' WHEN 2 THEN NULL ELSE url END AS source
   FROM pages)"""
 
-DOC_BLOCKS = """blocks AS (
-  SELECT (doc_id // 2) * 8 AS prompt_id, doc_id AS pos, text AS content, source FROM docs)"""
+DOC_BLOCKS = f"""blocks AS (
+  SELECT {_turn_key("doc_id")} AS prompt_id, doc_id AS pos, text AS content, source FROM docs)"""
 
 
 def _match(rule: fv.Rule) -> str:
@@ -230,7 +237,12 @@ class _Prompt:
         )
 
     def tool(self) -> str:
-        note = "CASE WHEN source <> '' THEN ' source=''' || source || '''' ELSE '' END"
+        # As Python's repr: double quotes around a source that holds single ones only.
+        inner = r"replace(source, '\', '\\')"
+        note = (
+            f"CASE WHEN contains(source, '''') THEN ' source=\"' || {inner} || '\"' "
+            f"WHEN source <> '' THEN ' source=''' || {inner} || '''' ELSE '' END"
+        )
         return self.block("TOOL", self.escape("content"), note)
 
     def user(self, text: str) -> str:

@@ -85,22 +85,30 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table.withColumn("text", overlaid(F.col("text"), F.col("doc_id")))
 
 
+def _turn_key(spark: SparkSession, folder: str, item: Column) -> Column:
+    """A turn for each item: over all conversations, and within them over the two turns that each has."""
+    conversations = read_table(spark, folder, "conversations")
+    n = (conversations.agg(F.max("conv_id")).first()[0] or 0) + 1
+    return F.pmod(item, F.lit(n)) * 8 + F.pmod(F.floor(item / n), F.lit(2))
+
+
 def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages as tool blocks: three to the first turn of each conversation."""
+    """Pages as tool blocks, dealt over the turns; some have no source or one with quotes."""
     pages = spread(read_table(spark, folder, "pages"), "page_id")
     forged = F.element_at(
         F.array(*[F.lit(t) for t in FORGED_TAGS]), (F.col("page_id") % 3 + 1).cast("int")
     )
-    key = (F.floor(F.col("page_id") / 3) * 8).cast("long")
-    return rq.as_tool_blocks(
-        pages, key, F.col("page_id"), F.concat("html", forged), F.col("url")
+    key = _turn_key(spark, folder, F.col("page_id"))
+    source = F.when(F.col("page_id") % 5 == 1, F.concat("url", F.lit("?q='a\\b'"))).when(
+        F.col("page_id") % 5 != 2, F.col("url")
     )
+    return rq.as_tool_blocks(pages, key, F.col("page_id"), F.concat("html", forged), source)
 
 
 def document_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as tool blocks of conversations, two to each first turn."""
+    """Documents as tool blocks, dealt over the turns."""
     docs = documents(spark, folder)
-    key = (F.floor(F.col("doc_id") / 2) * 8).cast("long")
+    key = _turn_key(spark, folder, F.col("doc_id"))
     return rq.as_tool_blocks(docs, key, F.col("doc_id"), F.col("text"), F.col("source"))
 
 
@@ -250,6 +258,7 @@ def bypass_prompts(spark: SparkSession, folder: str) -> DataFrame:
         rq.drop_blank_prompts(prompts(spark, folder)), blocks
     )
     raw = unprotected_prompt(F.col("text"), F.col("tool_context"))
+    raw = F.when(~F.col("context_too_large"), raw)
     return with_tools.select("prompt_id", F.length(raw).alias("raw_chars"), F.md5(raw).alias("raw_md5"))
 
 

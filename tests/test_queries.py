@@ -53,3 +53,14 @@ def test_scans_read_only_needed_columns(spark, plan_of):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     plan = plan_of(workload.prompts(spark, FOLDER).filter(F.col("role") == "user").select("text"))
     assert "EqualTo(role,user)" in plan
+
+
+def test_tool_blocks_reach_prompts_of_every_kind(spark):
+    rows = workload.keyword_tools(spark, FOLDER)
+    counts = rows.agg(F.count_if(F.col("n_tools") > 0).alias("with_tools"), F.count_if(F.col("n_tools") == 0).alias("without")).first()
+    assert counts["with_tools"] > 0 and counts["without"] > 0
+    keys = workload.prompts(spark, FOLDER).select("prompt_id")
+    for blocks in (workload.page_blocks(spark, FOLDER), workload.document_blocks(spark, FOLDER)):
+        assert blocks.join(keys, "prompt_id", "left_anti").isEmpty()
+    sources = workload.page_blocks(spark, FOLDER).select("source")
+    assert sources.filter("source is null").count() and sources.filter(F.contains("source", F.lit("'"))).count()
