@@ -157,7 +157,7 @@ class TwoTierEncoder:
 
 @lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> UnitCoder:
-    return UnitCoder(TwoTierEncoder(read_ranks(path), pattern).encode_many)
+    return UnitCoder(TwoTierEncoder(read_ranks(path), pattern).encode_many, limit=150_000)
 
 
 @lru_cache(maxsize=2)
@@ -197,8 +197,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """doc_id, ids and decoded bytes of every document."""
     ship(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.select("doc_id", encode(text_of(), path, pattern).alias("ids"))
-    return rows.withColumn("decoded", decode(F.col("ids"), path))
+
+    # Both ways in one Python worker: a second one would double what a task holds.
+    @F.pandas_udf("ids array<int>, decoded binary")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder, table = _coder(path, pattern), _decoder(path)
+        for texts in batches:
+            ids = [np.frombuffer(one, np.int32) for one in coder.encode(texts)]
+            decoded = [b"".join([table[i] for i in one.tolist()]) for one in ids]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+
+    return rows.select("doc_id", coded(text_of()).alias("coded")).select("doc_id", "coded.ids", "coded.decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
