@@ -12,6 +12,7 @@ Null text counts as empty and has no ids.  Rows map to rows; nothing moves.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -181,6 +182,19 @@ def encode(column: Column, path: str, pattern: str) -> Column:
     return ids(column)
 
 
+def coded(column: Column, path: str, pattern: str) -> Column:
+    """struct of the ids of a text and of the bytes that they decode to, in one Python worker."""
+
+    @F.pandas_udf("ids array<int>, decoded binary")
+    def both_ways(texts: pd.Series) -> pd.DataFrame:
+        coder, table = _coder(path, pattern), _decoder(path)
+        ids = [np.frombuffer(one, np.int32) for one in coder.encode(texts)]
+        decoded = [b"".join([table[i] for i in one.tolist()]) for one in ids]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+
+    return both_ways(column)
+
+
 def decode(column: Column, path: str) -> Column:
     """The bytes that ids stand for; null for null."""
 
@@ -193,28 +207,43 @@ def decode(column: Column, path: str) -> Column:
     return data(column)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids and decoded bytes of every document."""
+def digest(both: Column) -> Column:
+    """Of a ``coded`` struct: number of ids, and SHA-256 of the ids as text and of the decoded bytes.
+
+    Spark runs this on the struct in the worker that made it, so ids and bytes
+    never leave it.
+    """
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(rows: pd.DataFrame) -> pd.DataFrame:
+        def sha(data: bytes) -> str:
+            return hashlib.sha256(data).hexdigest()
+
+        names: dict[int, bytes] = {}
+        out = []
+        for ids, decoded in zip(rows["ids"], rows["decoded"]):
+            ids = ids.tolist()
+            names.update((i, b"%d" % i) for i in set(ids).difference(names))
+            out.append((len(ids), sha(b" ".join([names[i] for i in ids])), sha(decoded)))
+        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digests(both)
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.select("doc_id", text_of().alias("text"))
 
-    # Both ways in one Python worker: a second one would double what a task holds.
-    @F.pandas_udf("ids array<int>, decoded binary")
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder, table = _coder(path, pattern), _decoder(path)
-        for texts in batches:
-            ids = [np.frombuffer(one, np.int32) for one in coder.encode(texts)]
-            decoded = [b"".join([table[i] for i in one.tolist()]) for one in ids]
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
 
-    return rows.select("doc_id", coded(text_of()).alias("coded")).select("doc_id", "coded.ids", "coded.decoded")
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and decoded bytes of every document."""
+    rows = _documents(docs, id_col, text_col).select("doc_id", coded(F.col("text"), path, pattern).alias("coded"))
+    return rows.select("doc_id", "coded.ids", "coded.decoded")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Number of ids, and SHA-256 of the ids as text and of the decoded bytes."""
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def document_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the digests of every document's ids and decoded bytes."""
+    both = coded(F.col("text"), path, pattern)
+    rows = _documents(docs, id_col, text_col).select("doc_id", digest(both).alias("digest"))
+    return rows.select("doc_id", "digest.*")

@@ -43,7 +43,7 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return byte_bpe.digests(byte_bpe.encode_documents(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern()))
+    return byte_bpe.document_digests(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,8 +105,10 @@ def test_block_round_trip_with_group_offsets():
 
 
 def test_byte_bpe_over_a_table(documents, tiktoken_encoding):
-    out = byte_bpe.digests(byte_bpe.encode_documents(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
-    wanted = []
+    args = documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out, whole, wanted = byte_bpe.document_digests(*args), byte_bpe.encode_documents(*args), []
+    texts = {(r["doc_id"], bytes(r["decoded"]).decode(), tuple(r["ids"])) for r in whole.collect()}
+    assert texts == {(d, t, tuple(tiktoken_encoding.encode_ordinary(t))) for d, t in rows_of(documents)}
     for doc_id, text in rows_of(documents):
         tokens = tiktoken_encoding.encode_ordinary(text)
         wanted.append((doc_id, len(tokens), sha256(" ".join(map(str, tokens)).encode()).hexdigest(), sha256(text.encode()).hexdigest()))
