@@ -122,37 +122,45 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     packed.write.option("lineSep", "\n").text(folder)
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, place in the file, doc_id, ids) of all documents."""
+def _documents(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(doc ids, places in the file, ids of each doc, their ids) of each block of a file."""
+    place = 0
+    for doc_ids, lengths, ids in unpack_blocks(content):
+        ends = np.cumsum(lengths, dtype=np.int64)
+        each = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
+        yield doc_ids, place + ends - lengths, lengths, each
+        place += int(ends[-1]) if len(ends) else 0
+
 
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(spark: SparkSession, folder: str, make, schema: str) -> DataFrame:
+    """(file, place in the file, doc_id, columns that ``make`` gives for a block) of all documents."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                place = 0
-                for doc_ids, lengths, ids in unpack_blocks(content):
-                    ends = np.cumsum(lengths, dtype=np.int64)
-                    each = [ids[e - n : e].astype(np.int32) for e, n in zip(ends.tolist(), lengths.tolist())]
-                    yield pd.DataFrame(
-                        {"file": path, "place": place + ends - lengths, "doc_id": pd.array(doc_ids, "Int64"), "ids": each}
-                    )
-                    place += int(ends[-1]) if len(ends) else 0
+                for doc_ids, places, lengths, each in _documents(content):
+                    known = {"file": path, "place": places, "doc_id": pd.array(doc_ids, "Int64")}
+                    yield pd.DataFrame(known | make(lengths, each))
 
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return files.mapInPandas(decoded, "file string, place long, doc_id long, ids array<int>")
+    return files.mapInPandas(rows, f"file string, place long, doc_id long, {schema}")
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, place in the file, doc_id, ids) of all documents."""
+    return _read(spark, folder, lambda lengths, each: {"ids": [ids.astype(np.int32) for ids in each]}, "ids array<int>")
 
 
 def token_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and CRC-32 of the ids of each document, read from the files."""
+    """doc_id, start, n_tokens and CRC-32 of the ids of each document, read from the files.
 
-    @F.pandas_udf("long")
-    def crc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([zlib.crc32(np.asarray(ids, "<u4").tobytes()) for ids in rows], dtype="int64")
+    The checksums are taken where the files are decoded, so that no ids travel.
+    """
 
-    rows = read_token_files(spark, folder).select(
-        "file", "place", "doc_id", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32")
-    )
-    rows = materialise(rows, "token_rows")
+    def digest(lengths: np.ndarray, each: list[np.ndarray]) -> dict:
+        return {"n_tokens": lengths.astype(np.int64), "ids_crc32": [zlib.crc32(ids.tobytes()) for ids in each]}
+
+    rows = materialise(_read(spark, folder, digest, "n_tokens long, ids_crc32 long"), "token_rows")
     # One row per file: files are as many as partitions, not as documents.
     files = rows.groupBy("file").agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("n"))
     before = Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)

@@ -83,7 +83,8 @@ class UnitCoder:
 
 
 _coders: dict[str, UnitCoder] = {}
-_POINT = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|$)")
+#: The look behind comes second, so that the search goes from point to point and not over every character.
+_POINT = re.compile(r"[.,](?<=[^\W\d_].)(?=\s|$)")
 #: A byte as the character that byte-level vocabularies write for it.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = dict(zip(_PRINTED, map(chr, _PRINTED))) | {
@@ -103,7 +104,7 @@ def spread_words(text: str) -> str:
         if "\u03a3" in text or "\u0130" in text or not all(unicodedata.is_normalized("NFC", t) for t in (text, lower)):
             return text
         text = lower
-    return _POINT.sub(r" \1", text.lower().replace("\n", " "))
+    return _POINT.sub(r" \g<0>", text.lower().replace("\n", " "))
 
 
 def word_coder(path: str) -> UnitCoder:
