@@ -16,11 +16,7 @@ MAX_CONTEXT_BYTES = 128 * 1024 * 1024
 def oversized_contexts(
     tool_blocks: DataFrame, key: str = "prompt_id", max_bytes: int = MAX_CONTEXT_BYTES
 ) -> DataFrame:
-    """Keys whose tool text is larger than ``max_bytes``.
-
-    There are at most (bytes of the table / max_bytes) of them: under a million
-    for 100 TB, so the result may be broadcast.
-    """
+    """Keys whose tool text is larger than ``max_bytes``."""
     size = F.octet_length("content") + F.coalesce(F.octet_length("source"), F.lit(0))
     sizes = tool_blocks.groupBy(key).agg(F.sum(size.cast("long")).alias("bytes"))
     return sizes.filter(F.col("bytes") > max_bytes).select(key)
@@ -65,13 +61,13 @@ def attach_tool_blocks(
     """
     wanted = F.lit(True) if only_where is None else only_where
     tool_blocks = tool_blocks.join(prompts.filter(wanted).select(key), key, "left_semi")
-    oversized = F.broadcast(oversized_contexts(tool_blocks, key, max_bytes))
+    oversized = oversized_contexts(tool_blocks, key, max_bytes)
     fitting = tool_blocks.join(oversized, key, "left_anti")
     contexts = collect_tool_blocks(fitting, key).withColumnRenamed(key, "__tool_key")
     large = oversized.select(F.col(key).alias("__large_key"))
     return (
         prompts.join(contexts, (F.col(key) == F.col("__tool_key")) & wanted, "left")
-        .join(F.broadcast(large), (F.col(key) == F.col("__large_key")) & wanted, "left")
+        .join(large, (F.col(key) == F.col("__large_key")) & wanted, "left")
         .withColumn("context_too_large", F.col("__large_key").isNotNull())
         .drop("__tool_key", "__large_key")
     )

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fv
 from palisade.functions.text import as_column, risk_band
-from palisade.operators.encapsulate import assemble, unprotected_prompt
+from palisade.operators.encapsulate import assemble, attach_tool_blocks, prompt_segments, unprotected_prompt
 from palisade.operators.intent_model import IntentModel
 from palisade.operators.intent_score import intent, score
 from palisade.operators.scan import is_suspicious, rule_names, scan
+from palisade.session import materialise
 
 
 @dataclass(frozen=True)
@@ -85,36 +86,85 @@ def _refuse_without_context(decided: DataFrame) -> DataFrame:
     )
 
 
-def guard(
+def judge(
     prompts: DataFrame,
     model: IntentModel,
     config: GuardConfig = GuardConfig(),
     text_col: str = "text",
-    tool_context: str | None = None,
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """Add sanitization, intent, allowed, reason, final_prompt and structured_messages.
-
-    With tool blocks in an array column and a model within the broadcast bound
-    this is one stage without a shuffle.  Texts the scan blocked are not scored.
-    ``keys`` are needed only for models too large to broadcast.  Rows marked
-    ``context_too_large`` are refused; ``prompt_segments`` gives their prompts.
-    """
+    """Add sanitization, intent, allowed and reason.  Texts the scan blocked are not scored."""
     scanned = scan(prompts, text_col, config.block_on_sanitizer)
     scoreable = F.when(~F.col("sanitization.blocked"), F.col("sanitization.cleaned_text"))
     scored = score(scanned, model, scoreable, keys, into="__score")
-    decided = decide(scored, config.intent_threshold, config.block_on_intent)
-    if tool_context and "context_too_large" in decided.columns:
-        decided = _refuse_without_context(decided)
-    assembled = assemble(
-        decided,
+    return decide(scored, config.intent_threshold, config.block_on_intent).drop("__score")
+
+
+def _assembled(judged: DataFrame, config: GuardConfig, tool_context: str | None) -> DataFrame:
+    if tool_context and "context_too_large" in judged.columns:
+        judged = _refuse_without_context(judged)
+    return assemble(
+        judged,
         user_text=F.col("sanitization.cleaned_text"),
         tool_context=tool_context,
         system_rules=config.system_rules,
         salt=config.session_salt,
         when=F.col("allowed"),
     )
-    return assembled.drop("__score")
+
+
+def guard(
+    prompts: DataFrame,
+    model: IntentModel,
+    config: GuardConfig = GuardConfig(),
+    text_col: str = "text",
+    tool_context: str | None = None,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """Add sanitization, intent, allowed, reason, final_prompt and structured_messages.
+
+    With tool blocks in an array column and a model within the broadcast bound
+    this is one stage without a shuffle.
+    ``keys`` are needed only for models too large to broadcast.  Rows marked
+    ``context_too_large`` are refused; ``prompt_segments`` gives their prompts.
+    """
+    return _assembled(judge(prompts, model, config, text_col, keys), config, tool_context)
+
+
+def guard_with_blocks(
+    prompts: DataFrame,
+    tool_blocks: DataFrame,
+    model: IntentModel,
+    config: GuardConfig = GuardConfig(),
+    key: str = "prompt_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``guard`` with tool blocks from a table, which only allowed prompts receive.
+
+    Prompts are judged first and the verdicts stored, so that nothing is scanned
+    twice and the text of blocks that hang on blocked prompts never moves.
+    """
+    judged = materialise(judge(prompts, model, config, text_col, [key]), "judged")
+    with_tools = attach_tool_blocks(judged, tool_blocks, key, only_where=F.col("allowed"))
+    return _assembled(with_tools, config, "tool_context")
+
+
+def guard_segments(
+    prompts: DataFrame,
+    tool_blocks: DataFrame,
+    model: IntentModel,
+    config: GuardConfig = GuardConfig(),
+    key: str = "prompt_id",
+    text_col: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """The verdicts, and the prompts of the allowed rows as ordered segment rows.
+
+    Nothing is grouped by prompt, so one with any amount of tool text is
+    delivered whole.  The settings must be values, not columns.
+    """
+    judged = materialise(judge(prompts, model, config, text_col, [key]), "judged")
+    allowed = judged.filter("allowed").select(key, F.col("sanitization.cleaned_text").alias("__cleaned"))
+    return judged, prompt_segments(allowed, tool_blocks, key, "__cleaned", config.system_rules, config.session_salt)
 
 
 def guard_requests(requests: DataFrame, model: IntentModel) -> DataFrame:

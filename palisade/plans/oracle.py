@@ -285,8 +285,8 @@ RAW_PLAIN = f"{quote(fv.BYPASS_RULES_HEADING)} || {RULES_TEXT} || {NL} || {NL} |
 # --- guard -------------------------------------------------------------------------
 
 
-def _guard(source: str) -> str:
-    """Guard over CTE ``source`` (prompt_id, text, tools, thr, bs, bi, bypass)."""
+def _judged(source: str) -> str:
+    """CTE ``judged``: the verdicts over CTE ``source`` (prompt_id, text, tools, thr, bs, bi, bypass)."""
     keys = "prompt_id, tools, thr, bs, bi, bypass"
     blocked = "(bs AND high AND NOT bypass)"
     return f"""{_scan(source, keys)},
@@ -295,7 +295,12 @@ gated AS (SELECT *, {blocked} AS blocked FROM scanned),
 judged AS (
   SELECT g.*, CASE WHEN NOT blocked AND NOT bypass THEN score END AS score,
          coalesce(NOT blocked AND NOT bypass AND bi AND score >= thr, false) AS flagged
-  FROM gated g LEFT JOIN scores USING (prompt_id))
+  FROM gated g LEFT JOIN scores USING (prompt_id))"""
+
+
+def _guard(source: str) -> str:
+    """The whole guard over CTE ``source``."""
+    return f"""{_judged(source)}
 SELECT prompt_id, bypass OR NOT (blocked OR flagged) AS allowed,
   CASE WHEN bypass THEN {quote(fv.BYPASS_REASON)}
        WHEN blocked THEN {quote(fv.SANITIZER_REASON)} || replace({RULE_LIST}, ',', ', ')
@@ -508,6 +513,13 @@ FROM labelled JOIN scores USING (doc_id) CROSS JOIN steps GROUP BY threshold"""
   SELECT prompt_id, text, tools, 0.5 AS thr, true AS bs, true AS bi, false AS bypass
   FROM prompts LEFT JOIN tools USING (prompt_id)),"""
     sql["guard_prompts"] = f"{with_tools} {_guard('p')}"
+    sql["guarded_segments"] = f"""WITH {PROMPTS}, {PAGE_BLOCKS}, p AS (
+  SELECT prompt_id, text, {PLAIN_SETTINGS} FROM prompts), {_judged("p")},
+passed AS (SELECT prompt_id, cleaned FROM judged WHERE NOT (blocked OR flagged))
+SELECT prompt_id, 0 AS section, 0::BIGINT AS pos, md5({head}) AS segment_md5 FROM passed
+UNION ALL SELECT prompt_id, 1, pos, md5({DEFAULT.tool()}) FROM blocks
+  WHERE content <> '' AND prompt_id IN (SELECT prompt_id FROM passed)
+UNION ALL SELECT prompt_id, 2, 0, md5({DEFAULT.user("cleaned")}) FROM passed"""
 
     config = ", ".join(f"({quote(c)}, {t!r}::DOUBLE, {s}, {i})" for c, t, s, i in CONFIGS)
     sql["guard_configs"] = f"""WITH {PROMPTS}, config(role, thr, bs, bi) AS (VALUES {config}), p AS (

@@ -25,6 +25,8 @@ from palisade.plans.guard import (
     blocked_at,
     guard,
     guard_requests,
+    guard_segments,
+    guard_with_blocks,
     intent_risk,
     join_config,
     stage_status,
@@ -405,8 +407,14 @@ def _guard_view(guarded: DataFrame, key: str = "prompt_id", status: Column | Non
 
 def guard_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Every turn with its page blocks through the whole guard."""
-    with_tools = attach_tool_blocks(prompts(spark, folder), page_blocks(spark, folder))
-    return _guard_view(guard(with_tools, seed_model(spark), tool_context="tool_context"))
+    guarded = guard_with_blocks(prompts(spark, folder), page_blocks(spark, folder), seed_model(spark))
+    return _guard_view(guarded)
+
+
+def guarded_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompts of the turns that the guard lets through, as segments."""
+    _, rows = guard_segments(prompts(spark, folder), page_blocks(spark, folder), seed_model(spark))
+    return rows.select("prompt_id", "section", "pos", F.md5("segment").alias("segment_md5"))
 
 
 def guard_configs(spark: SparkSession, folder: str) -> DataFrame:
@@ -498,6 +506,7 @@ QUERIES = {
     "confusion": confusion,
     "threshold_sweep": threshold_sweep,
     "guard_prompts": guard_prompts,
+    "guarded_segments": guarded_segments,
     "guard_configs": guard_configs,
     "guard_request_batch": guard_request_batch,
     "funnel": funnel,

@@ -11,6 +11,8 @@ from palisade.plans.guard import (
     blocked_at,
     guard,
     guard_requests,
+    guard_segments,
+    guard_with_blocks,
     intent_risk,
     join_config,
     stage_status,
@@ -255,3 +257,19 @@ def test_prompt_without_its_tool_text_is_not_allowed(demo_batch, seed):
     assert rows[1]["blocked_at"] is None and tuple(rows[1]["stages"]) == ("passed", "passed", "aborted", "blocked")
     assert rows[4]["reason"] == "Blocked by input sanitizer: override_instructions"
     assert rows[2]["allowed"]
+
+
+def test_blocks_reach_only_allowed_prompts(spark, seed):
+    """Judged first: blocked prompts carry no tool text, and segments joined give the same prompts."""
+    prompts = demo.demo_prompts(spark).select("prompt_id", "text")
+    rows = [(i, p, "TOOL", f"note {i}-{p}", "desk") for i in range(1, 10) for p in range(3)]
+    blocks = spark.createDataFrame(rows, "prompt_id long, pos long, trust_level string, content string, source string")
+    guarded = {r["prompt_id"]: r for r in guard_with_blocks(prompts, blocks, seed).collect()}
+    assert {bool(r["allowed"]) for r in guarded.values()} == {True, False} and len(guarded) == prompts.count()
+    assert all((r["tool_context"] is not None) == r["allowed"] == (r["final_prompt"] is not None) for r in guarded.values())
+    judged, segments = guard_segments(prompts, blocks, seed)
+    parts = {}
+    for r in sorted(segments.collect(), key=lambda r: (r["prompt_id"], r["section"], r["pos"])):
+        parts.setdefault(r["prompt_id"], []).append(r["segment"])
+    assert {i: "\n\n".join(p) for i, p in parts.items()} == {i: r["final_prompt"] for i, r in guarded.items() if r["allowed"]}
+    assert {r["prompt_id"]: r["allowed"] for r in judged.collect()} == {i: r["allowed"] for i, r in guarded.items()}
