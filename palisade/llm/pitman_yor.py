@@ -1,16 +1,18 @@
 """A hierarchical Pitman-Yor language model over words.
 
-Restaurants: one for each context, which is the class of the word before (its
-last byte; 0 at the start of a text), and their shared parent, whose base is
-uniform over the vocabulary and one unknown word.  A word's customers in a
-context are its occurrences there; each of their tables sends a customer to the
-parent.  Seatings are sampled by Gibbs sweeps: every context's customers are
-seated anew given the parent and the numbers of tables of the sweep before,
-then the parent's.  Predictive probabilities are averaged over the last sweeps.
+Restaurants: one for each context, which is the word before (the end of a text at
+the start of the next), and their shared parent, whose base is uniform over the
+vocabulary and one unknown word.  A word's customers in a context are its
+occurrences there; each of their tables sends a customer to the parent.
+Seatings are sampled by Gibbs sweeps: every context's customers are seated anew
+given the parent and the numbers of tables of the sweep before, then the
+parent's.  Predictive probabilities are averaged over the last sweeps.
 
 Work is split by word, not by context, so a common context is no hot key: a
-bucket of word hashes holds the counts of its words in all 256 contexts, seats
-them, and hands back 256 pairs of totals, which are all that is ever gathered.
+bucket of word hashes holds the counts of its words in all their contexts and
+seats them.  Totals of contexts are summed up in buckets of context hashes, to
+which every bucket of words sends one entry for each of its contexts, and which
+answer in the order of what was sent.  Only a few sums are ever gathered.
 
 Texts are read once, into chunks: the distinct (word, context) cells of about a
 million tokens, with their counts, and the tokens as cell numbers.  Cells go to
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,7 @@ SWEEPS, AVERAGED = 4, 2
 STRENGTH = 1.0
 EXACT = 512
 CHUNK_TOKENS = 1_000_000
+#: Room for the contexts of a table that numbers a known few; corpora have them by hash.
 CONTEXTS = 256
 #: No word: words hold no white space.
 _END = b"\n"
@@ -86,15 +89,13 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(hashes)
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
-        last = np.fromiter((name[-1] for name in names), np.int64, len(names))
-        last[words[_END]] = 0  # what follows an end starts a text
-        ids = np.concatenate(tokens)
-        before = np.append(0, last[ids[:-1]])
-        cells, at = np.unique(rank[ids] * CONTEXTS + before, return_inverse=True)
+        ids = rank[np.concatenate(tokens)]
+        before = np.append(rank[words[_END]], ids[:-1])  # a chunk starts with a text
+        cells, at = np.unique(ids * len(names) + before, return_inverse=True)
         lengths = np.array([d[2] for d in docs])
         train = np.repeat(np.array([not d[1] for d in docs]), lengths)
         counts = np.bincount(at[train], minlength=len(cells)).astype("<u4")
-        per_word = np.bincount(cells // CONTEXTS, minlength=len(names)).astype("<u2")
+        per_word = np.bincount(cells // len(names), minlength=len(names)).astype("<u4")
         return pd.DataFrame(
             {
                 "chunk": [number],
@@ -104,7 +105,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "tokens": [_squeeze(at.astype("<u4"))],
                 "n_words": [len(names)],
                 "n_cells": [len(cells)],
-                "cells": [_squeeze(hashes[order].astype("<u8"), per_word, (cells % CONTEXTS).astype("u1"), counts)],
+                "cells": [_squeeze(hashes[order].astype("<u8"), per_word, (cells % len(names)).astype("<u4"), counts)],
             }
         )
 
@@ -130,7 +131,8 @@ def _requests(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, n_words, n_cells, data in zip(batch["chunk"], batch["n_words"], batch["n_cells"], batch["cells"]):
-                hashes, per_word, context, counts = _loosen(data, ("<u8", n_words), ("<u2", n_words), ("u1", n_cells), ("<u4", n_cells))
+                hashes, per_word, context, counts = _loosen(data, ("<u8", n_words), ("<u4", n_words), ("<u4", n_cells), ("<u4", n_cells))
+                context = hashes[context]
                 bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 words = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
                 cells = np.append(0, np.cumsum(per_word, dtype=np.int64))[words]
@@ -147,31 +149,33 @@ _REQUEST = "bucket int, chunk long, n_words long, n_cells long, cells binary"
 
 
 def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, word of each cell, context and count of each cell) of a request."""
+    """(word hashes, word of each cell, hash of its context and count of each cell) of a request."""
     hashes, per_word, context, counts = _loosen(
-        row.cells, ("<u8", row.n_words), ("<u2", row.n_words), ("u1", row.n_cells), ("<u4", row.n_cells)
+        row.cells, ("<u8", row.n_words), ("<u4", row.n_words), ("<u8", row.n_cells), ("<u4", row.n_cells)
     )
     return hashes, np.repeat(np.arange(len(hashes)), per_word), context, counts
 
 
 _STATE = (
-    "bucket int, n_words long, n_cells long, cells binary, seats binary, samples array<binary>, "
-    "contexts array<int>, customers array<long>, tables array<long>, parent_tables long, ones array<long>"
+    "bucket int, n_words long, n_cells long, n_contexts long, cells binary, seats binary, samples array<binary>, "
+    "sums array<binary>, customers long, tables long, parent_tables long, ones array<long>"
 )
 
 
 def _counted(group: pd.DataFrame) -> pd.DataFrame:
-    """All training cells of a bucket; every word has one table where it occurs."""
+    """All training cells of a bucket, and all contexts in it; every word has one table where it occurs."""
     rows = [_opened(r) for r in group.itertuples(index=False)]
     names, place = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    contexts, before = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
     starts = np.cumsum([0, *[len(r[0]) for r in rows]])
-    codes = np.concatenate([place[s : s + len(r[0])][r[1]] * CONTEXTS + r[2] for s, r in zip(starts, rows)])
-    cells, at = np.unique(codes, return_inverse=True)
+    words = np.concatenate([place[s : s + len(r[0])][r[1]] for s, r in zip(starts, rows)])
+    cells, at = np.unique(words * len(contexts) + before, return_inverse=True)
     counts = np.bincount(at, np.concatenate([r[3] for r in rows]), len(cells)).astype(np.int64)
     cells, counts = cells[counts > 0], counts[counts > 0]
-    known, word = np.unique(cells // CONTEXTS, return_inverse=True)
-    state = _State(names[known].astype("<u8"), word, cells % CONTEXTS, counts, np.ones(len(cells), np.int64), np.ones(len(known), np.int64))
-    return state.row(int(group["bucket"].iat[0]), [])
+    known, word = np.unique(cells // len(contexts), return_inverse=True)
+    ones = np.ones(len(cells), np.int64), np.ones(len(known), np.int64)
+    state = _State(names[known].astype("<u8"), word, cells % len(contexts), counts, *ones, contexts.astype("<u8"))
+    return state.row(int(group["bucket"].iat[0]), [], [])
 
 
 @dataclass
@@ -182,11 +186,9 @@ class _State:
     counts: np.ndarray
     tables: np.ndarray  # of each cell
     parents: np.ndarray  # tables of each word in the parent
+    contexts: np.ndarray | None = None  # hashes, those of unknown cells too
 
-    def row(self, bucket: int, samples: list[bytes]) -> pd.DataFrame:
-        sums = lambda x: np.bincount(self.context, x, CONTEXTS).astype(np.int64)
-        customers, tables = sums(self.counts), sums(self.tables)
-        met = np.flatnonzero(customers)
+    def row(self, bucket: int, samples: list[bytes], sums: list[bytes]) -> pd.DataFrame:
         per_word = np.bincount(self.word, self.tables, len(self.hashes))
         ones = [int((self.counts == 1).sum()), int((self.counts == 2).sum()), int((per_word == 1).sum()), int((per_word == 2).sum())]
         return pd.DataFrame(
@@ -194,12 +196,13 @@ class _State:
                 "bucket": [bucket],
                 "n_words": [len(self.hashes)],
                 "n_cells": [len(self.counts)],
-                "cells": [_squeeze(self.hashes, np.bincount(self.word, minlength=len(self.hashes)).astype("<u2"), self.context.astype("u1"), self.counts.astype("<u8"))],
+                "n_contexts": [len(self.contexts)],
+                "cells": [_squeeze(self.hashes, np.bincount(self.word, minlength=len(self.hashes)).astype("<u4"), self.context.astype("<u4"), self.counts.astype("<u8"), self.contexts)],
                 "seats": [self.seats()],
                 "samples": [samples],
-                "contexts": [met],
-                "customers": [customers[met]],
-                "tables": [tables[met]],
+                "sums": [sums],
+                "customers": [int(self.counts.sum())],
+                "tables": [int(self.tables.sum())],
                 "parent_tables": [int(self.parents.sum())],
                 "ones": [ones],
             }
@@ -210,19 +213,20 @@ class _State:
 
     def seated(self, seats: bytes) -> "_State":
         tables, parents = _loosen(seats, ("<u4", len(self.counts)), ("<u4", len(self.hashes)))
-        return _State(self.hashes, self.word, self.context, self.counts, tables.astype(np.int64), parents.astype(np.int64))
+        return _State(self.hashes, self.word, self.context, self.counts, tables.astype(np.int64), parents.astype(np.int64), self.contexts)
 
     @staticmethod
     def read(row) -> "_State":
-        hashes, per_word, context, counts = _loosen(row.cells, ("<u8", row.n_words), ("<u2", row.n_words), ("u1", row.n_cells), ("<u8", row.n_cells))
+        kinds = ("<u8", row.n_words), ("<u4", row.n_words), ("<u4", row.n_cells), ("<u8", row.n_cells), ("<u8", row.n_contexts)
+        hashes, per_word, context, counts, contexts = _loosen(row.cells, *kinds)
         word = np.repeat(np.arange(len(hashes)), per_word)
         none = np.empty(0, np.int64)
-        return _State(hashes, word, context.astype(np.int64), counts.astype(np.int64), none, none).seated(row.seats)
+        return _State(hashes, word, context.astype(np.int64), counts.astype(np.int64), none, none, contexts).seated(row.seats)
 
 
 @dataclass
 class Totals:
-    """All that the restaurants share: at most 256 pairs of numbers."""
+    """All that the restaurants share: customers and tables of the contexts at hand, and sums over all."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -230,14 +234,15 @@ class Totals:
     vocabulary: int
     discount: float
     parent_discount: float
+    tokens: int = 0
+    all_tables: int | None = None  # where not all contexts are at hand
 
-    @property
-    def tokens(self) -> int:
-        return int(self.customers.sum())
+    def having(self, customers: np.ndarray, tables: np.ndarray) -> "Totals":
+        return replace(self, customers=customers, tables=tables)
 
     def parent(self, tables: np.ndarray, parents: np.ndarray) -> np.ndarray:
         """The parent's probability of words with so many customers and tables there."""
-        d, n = self.parent_discount, int(self.tables.sum())
+        d, n = self.parent_discount, int(self.tables.sum()) if self.all_tables is None else self.all_tables
         base = (STRENGTH + d * self.parent_tables) / (self.vocabulary + 1)
         return (tables - d * parents + base) / (STRENGTH + n)
 
@@ -266,36 +271,77 @@ def seat(counts: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Ge
     return tables
 
 
-def _sweep(totals: Totals, number: int):
+def _sent(buckets: int):
+    """Customers and tables of each context in a bucket of words, cut by bucket of the context's hash."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                state, rng = _State.read(row), np.random.default_rng([number, row.bucket])
-                per_word = np.bincount(state.word, state.tables, len(state.hashes))
-                parent = totals.parent(per_word, state.parents)[state.word]
-                new = (STRENGTH + totals.discount * totals.tables[state.context]) * parent
-                state.tables = seat(state.counts, new, totals.discount, rng)
-                per_word = np.bincount(state.word, state.tables, len(state.hashes)).astype(np.int64)
-                base = (STRENGTH + totals.parent_discount * totals.parent_tables) / (totals.vocabulary + 1)
-                state.parents = seat(per_word, np.full(len(per_word), base), totals.parent_discount, rng)
-                samples = [*row.samples, state.seats()] if number >= SWEEPS - AVERAGED else []
-                yield state.row(row.bucket, samples)
+                state = _State.read(row)
+                sums = [np.bincount(state.context, x, len(state.contexts)).astype("<u8") for x in (state.counts, state.tables)]
+                bucket = (state.contexts >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+                out = []
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = slice(cuts[b], cuts[b + 1])
+                    out.append((b, row.bucket, part.stop - part.start, _squeeze(state.contexts[part], *[x[part] for x in sums])))
+                yield pd.DataFrame(out, columns=["group", "bucket", "n", "sums"])
+
+    return run
+
+
+def _summed(messages: pd.DataFrame) -> pd.DataFrame:
+    """For each bucket of words, the totals of the contexts that it sent, in the order sent."""
+    sent = [_loosen(r.sums, ("<u8", r.n), ("<u8", r.n), ("<u8", r.n)) for r in messages.itertuples(index=False)]
+    names, place = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate([x[k] for x in sent]), len(names)).astype("<u8") for k in (1, 2)]
+    cuts = np.cumsum([len(x[0]) for x in sent])[:-1]
+    return messages.assign(sums=[_squeeze(*[x[p] for x in sums]) for p in np.split(place, cuts)])
+
+
+def _exchanged(states: DataFrame, buckets: int) -> DataFrame:
+    form = "group int, bucket int, n long, sums binary"
+    return states.mapInPandas(_sent(buckets), form).groupBy("group").applyInPandas(_summed, form)
+
+
+def _joined(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, tables) of the contexts of a bucket of words."""
+    parts = [_loosen(r.sums, ("<u8", r.n), ("<u8", r.n)) for r in replies.sort_values("group").itertuples(index=False)]
+    return tuple(np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (0, 1))
+
+
+def _sweep(shared: Totals, number: int):
+    """Seat a bucket anew; sums of contexts that belong to a sample are kept with it."""
+
+    def run(states: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        row = next(states.itertuples(index=False))
+        sums = _joined(replies)
+        totals, state, rng = shared.having(*sums), _State.read(row), np.random.default_rng([number, row.bucket])
+        kept = [*row.sums, _squeeze(*sums)] if len(row.samples) else []
+        if number == SWEEPS:  # all samples are drawn
+            return state.row(row.bucket, list(row.samples), kept)
+        per_word = np.bincount(state.word, state.tables, len(state.hashes))
+        parent = totals.parent(per_word, state.parents)[state.word]
+        new = (STRENGTH + totals.discount * totals.tables[state.context]) * parent
+        state.tables = seat(state.counts, new, totals.discount, rng)
+        per_word = np.bincount(state.word, state.tables, len(state.hashes)).astype(np.int64)
+        base = (STRENGTH + totals.parent_discount * totals.parent_tables) / (totals.vocabulary + 1)
+        state.parents = seat(per_word, np.full(len(per_word), base), totals.parent_discount, rng)
+        samples = [*row.samples, state.seats()] if number >= SWEEPS - AVERAGED else []
+        return state.row(row.bucket, samples, kept)
 
     return run
 
 
 def _totals(states: DataFrame, last: Totals | None = None) -> Totals:
-    sums = states.select(F.explode(F.arrays_zip("contexts", "customers", "tables")).alias("x")).groupBy("x.contexts")
-    sums = sums.agg(F.sum("x.customers").alias("c"), F.sum("x.tables").alias("t")).collect()
-    rest = states.agg(F.sum("parent_tables"), F.sum("n_words"), *[F.sum(F.get("ones", F.lit(i))) for i in range(4)]).first()
-    customers, tables = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
-    for r in sums:
-        customers[r["contexts"]], tables[r["contexts"]] = r["c"], r["t"]
-    parents, words, n1, n2, m1, m2 = [x or 0 for x in rest]
+    sums = [F.sum(c) for c in ("customers", "tables", "parent_tables", "n_words")]
+    rest = states.agg(*sums, *[F.sum(F.get("ones", F.lit(i))) for i in range(4)]).first()
+    customers, tables, parents, words, n1, n2, m1, m2 = [x or 0 for x in rest]
     # The usual estimate from what occurs once and twice, kept from the first counts on.
     estimate = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
     discounts = (last.discount, last.parent_discount) if last else (estimate(n1, n2), estimate(m1, m2))
-    return Totals(customers, tables, parents, words, *discounts)
+    none = np.empty(0, np.int64)
+    return Totals(none, none, parents, words, *discounts, customers, tables)
 
 
 def _answers(totals: list[Totals]):
@@ -303,26 +349,28 @@ def _answers(totals: list[Totals]):
 
     def run(requests: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         out = []
-        state = _State.read(states.iloc[0]) if len(states) else _State(*[np.empty(0, k) for k in ("<u8", "i8", "i8", "i8", "i8", "i8")])
-        codes = state.word * CONTEXTS + state.context
-        samples = [state.seated(s) for s in states.iloc[0]["samples"]] if len(states) else [state] * len(totals)
+        row = states.iloc[0]
+        state, size = _State.read(row), int(row["n_contexts"])
+        codes = state.word * size + state.context
+        samples = [state.seated(s) for s in row["samples"]]
+        own_totals = [t.having(*[x.astype(np.int64) for x in _loosen(s, ("<i8", size), ("<i8", size))]) for t, s in zip(totals, row["sums"])]
         in_all = np.bincount(state.word, state.counts, len(state.hashes)).astype(np.int64)
-        parents = [t.parent(np.append(np.bincount(s.word, s.tables, len(s.hashes)), 0), np.append(s.parents, 0)) for t, s in zip(totals, samples)]
+        parents = [t.parent(np.append(np.bincount(s.word, s.tables, len(s.hashes)), 0), np.append(s.parents, 0)) for t, s in zip(own_totals, samples)]
         for r in requests.itertuples(index=False):
             hashes, word, context, _ = _opened(r)
             place = np.searchsorted(state.hashes, hashes)
             known = np.append(state.hashes, np.uint64(0))[place] == hashes if len(state.hashes) else np.zeros(len(hashes), bool)
             place = np.where(known & (place < len(state.hashes)), place, len(state.hashes))  # the last: unknown
             own = place[word]
-            context = context.astype(np.int64)
-            at = np.searchsorted(codes, own * CONTEXTS + context)
-            there = np.append(codes, -1)[at] == own * CONTEXTS + context
+            context = np.searchsorted(state.contexts, context)
+            at = np.searchsorted(codes, own * size + context)
+            there = np.append(codes, -1)[at] == own * size + context
             p = np.zeros(len(word))
-            for t, s, parent in zip(totals, samples, parents):
+            for t, s, parent in zip(own_totals, samples, parents):
                 c, seats = np.append(s.counts, 0)[at] * there, np.append(s.tables, 0)[at] * there
                 p += t.cell(context, c, seats, parent[own])
             logs = np.log10(p / len(totals))
-            out.append((r.chunk, r.bucket, len(hashes), len(logs), _squeeze(logs.astype("<f4"), np.append(in_all, 0)[place].astype("<u8"), np.bincount(word, minlength=len(hashes)).astype("<u2"))))
+            out.append((r.chunk, r.bucket, len(hashes), len(logs), _squeeze(logs.astype("<f4"), np.append(in_all, 0)[place].astype("<u8"), np.bincount(word, minlength=len(hashes)).astype("<u4"))))
         return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "n_cells", "answer"])
 
     return run
@@ -334,7 +382,7 @@ def _scored(train_tokens: int, vocabulary: int):
     def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         logs, base, known = [], [], []
         for r in answers.sort_values("bucket").itertuples(index=False):
-            log, count, per_word = _loosen(r.answer, ("<f4", r.n_cells), ("<u8", r.n_words), ("<u2", r.n_words))
+            log, count, per_word = _loosen(r.answer, ("<f4", r.n_cells), ("<u8", r.n_words), ("<u4", r.n_words))
             logs.append(log.astype(np.float64))
             base.append(np.repeat(np.log10((count + 1.0) / (train_tokens + vocabulary + 1)), per_word))
             known.append(np.repeat(count > 0, per_word))
@@ -368,9 +416,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     requests = chunks.select("chunk", "n_words", "n_cells", "cells").mapInPandas(_requests(buckets), _REQUEST)
     states = materialise(requests.groupBy("bucket").applyInPandas(_counted, _STATE), "states")
     totals = [_totals(states)]
-    for number in range(SWEEPS):
-        states = materialise(states.mapInPandas(_sweep(totals[-1], number), _STATE), "states")
-        totals.append(_totals(states, totals[-1]))
+    for number in range(SWEEPS + 1):
+        replies = _exchanged(states, buckets)
+        swept = states.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(_sweep(totals[-1], number), _STATE)
+        states = materialise(swept, "states")
+        if number < SWEEPS:
+            totals.append(_totals(states, totals[-1]))
     answers = requests.groupBy("bucket").cogroup(states.groupBy("bucket"))
     answers = answers.applyInPandas(_answers(totals[-AVERAGED:]), "chunk long, bucket int, n_words long, n_cells long, answer binary")
     texts = chunks.select("chunk", "doc_id", "held_out", "n_tokens", "tokens")
