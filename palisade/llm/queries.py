@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palisade.llm import (
-    byte_bpe, chat_format, exact_dedup, packing, pitman_yor, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc,
+    byte_bpe, chat_format, conversation_repair, exact_dedup, packing, pitman_yor, quality_rules, simhash, suffix_dedup,
+    token_files, toxicity, warc,
 )
 from palisade.sources.tables import read_table
 
@@ -85,6 +86,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_and_read_back(turns.unionByName(forged))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_digests(turns, conversation_repair.damage(turns))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -97,6 +103,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
     "op11_chat_format": op11_chat_format,
+    "op12_conversation_repair": op12_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
