@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palisade.llm import (
-    byte_bpe, chat_format, conversation_repair, exact_dedup, packing, pitman_yor, quality_rules, simhash, suffix_dedup,
-    token_files, toxicity, warc,
+    byte_bpe, chat_format, conversation_repair, exact_dedup, packing, pitman_yor, quality_rules, simhash, spelling_variants,
+    suffix_dedup, token_files, toxicity, warc,
 )
 from palisade.sources.tables import read_table
 
@@ -91,6 +91,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(turns, conversation_repair.damage(turns))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.misspelt_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -104,6 +108,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_chat_format": op11_chat_format,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
