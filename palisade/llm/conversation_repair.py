@@ -277,26 +277,30 @@ _EDIT = "known boolean, conv long, position long, row long, edit string, new_rol
 def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of each repaired conversation, read off its audit; ``row`` is null for inserted ones."""
     for batch in batches:
-        waiting, size = [], 0
-        for known, conv, audit in batch.itertuples(index=False, name=None):
-            letters = np.frombuffer(audit.encode(), "S1")
-            stays = np.flatnonzero(letters != b"D")
-            odd, row = len(stays) % 2, np.cumsum(letters != b"I") - 1
-            for at in range(0, len(stays), _BATCH):
-                own = stays[at : at + _BATCH]
-                position = np.arange(at, at + len(own))
-                edit = letters[own].astype(str)
-                # The number of rows tells whether the first is the system's.
-                role = np.where((position - odd) % 2 == 0, "user", "assistant").astype(object)
-                role[edit == KEEP] = None
-                rows = pd.Series(row[own], dtype="Int64").mask(edit == INSERT)
-                waiting.append(pd.DataFrame({"known": known, "conv": conv, "position": position, "row": rows, "edit": edit, "new_role": role}))
-                size += len(own)
-                if size >= _BATCH:
-                    yield pd.concat(waiting)
-                    waiting, size = [], 0
-        if waiting:
-            yield pd.concat(waiting)
+        audits = batch["audit"].tolist()
+        lengths = np.array([len(a) for a in audits], np.int64)
+        letters = np.frombuffer("".join(audits).encode(), np.uint8)
+        owner = np.repeat(np.arange(len(audits)), lengths)
+        begins = np.cumsum(lengths) - lengths
+        from_row, stays = letters != ord(INSERT), letters != ord(DELETE)
+
+        def numbers(marked: np.ndarray) -> np.ndarray:
+            """How many of a conversation's letters up to each one are marked, less one."""
+            upto = np.concatenate([[0], np.cumsum(marked)])
+            return upto[1:] - upto[begins][owner] - 1
+
+        row, position = numbers(from_row), numbers(stays)
+        # An odd number of rows tells that the first is the system's.
+        odd = np.bincount(owner, stays, len(audits)).astype(np.int64) % 2
+        left = np.flatnonzero(stays)
+        for at in range(0, len(left), _BATCH):
+            own = left[at : at + _BATCH]
+            edit = letters[own].tobytes().decode()
+            role = np.where((position[own] - odd[owner[own]]) % 2 == 0, "user", "assistant").astype(object)
+            role[letters[own] == ord(KEEP)] = None
+            keys = batch[_KEY].iloc[owner[own]].reset_index(drop=True)
+            rows = pd.Series(row[own], dtype="Int64").mask(~from_row[own])
+            yield keys.assign(position=position[own], row=rows, edit=list(edit), new_role=role)
 
 
 def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -318,7 +322,7 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = pieces.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("part", *[c for c in pieces.columns if c not in (*_KEY, "part")]))).alias("pieces"))
     summary = materialise(joined.mapInPandas(_summaries, _SUMMARY), "repairs")
 
-    edits = summary.select("known", "conv", "audit").mapInPandas(_edits, _EDIT)
+    edits = materialise(summary.select("known", "conv", "audit").mapInPandas(_edits, _EDIT), "edits")
     inserted = edits.filter("row IS NULL").select(*_KEY, "position", "edit", F.col("new_role").alias("role"), F.lit("").alias("text"))
     before = Window.partitionBy(*_KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.select(*_KEY, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
