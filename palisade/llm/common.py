@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.session import materialise, ship_package
@@ -12,28 +12,40 @@ from palisade.session import materialise, ship_package
 FILE, ROW = "_llm_file", "_llm_row"
 
 
+#: What is put behind a caller's columns of those names while rows are keyed.
+_OWN = "_own"
+
+
 def row_keyed(df: DataFrame) -> DataFrame:
     """Add the file and the row number in it, an identity that survives recomputation.
 
     ``doc_id`` may be null or repeated, and generated ids change when a lost
     task runs again on other splits; a row's place in a Parquet file does
     neither.  Input that doesn't come straight from Parquet is written first.
+    Columns of the caller that have these names are set aside; see ``own_columns``.
     """
-    if FILE in df.columns:
+    if "_row_keyed" in df.__dict__:
         return df
     try:
         place = df.metadataColumn("_metadata")
-        keyed = df.select("*", place["file_path"].alias(FILE), place["row_index"].alias(ROW))
+        own = [F.col(f"`{c}`").alias(c + _OWN if c in (FILE, ROW) else c) for c in df.columns]
+        keyed = df.select(*own, place["file_path"].alias(FILE), place["row_index"].alias(ROW))
         keyed.schema  # noqa: B018  raises where there is no such column
-        return keyed
     except AnalysisException:
         return row_keyed(materialise(df, "rows"))
+    keyed.__dict__["_row_keyed"] = True
+    return keyed
+
+
+def own_columns(keyed: DataFrame) -> list[Column]:
+    """The caller's columns of a table from ``row_keyed``, under their own names."""
+    names = {FILE + _OWN: FILE, ROW + _OWN: ROW}
+    return [F.col(f"`{c}`").alias(names.get(c, c)) for c in keyed.columns if c not in (FILE, ROW)]
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` (from ``row_keyed``) whose place is in ``keys``, without the place."""
-    kept = docs.join(keys.select(FILE, ROW), [FILE, ROW], "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (FILE, ROW)])
+    return docs.join(keys.select(FILE, ROW), [FILE, ROW], "left_semi").select(*own_columns(docs))
 
 
 def ship(df: DataFrame) -> None:

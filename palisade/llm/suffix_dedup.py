@@ -1,11 +1,12 @@
 """Repeated byte strings, by a distributed merge sort of suffixes.
 
-Every byte inside a ``LENGTH``-byte string that also starts elsewhere goes.
+Every byte inside a string of ``Window.length`` bytes that also starts elsewhere goes;
+``LENGTH`` bytes unless the caller wants another length.
 
 *Which suffixes.*  Sorting all of them would move each text hundreds of times.
-Of each window of ``LENGTH`` bytes the smallest of its first ``SPAN`` 32-byte
+Of each window the smallest of its first ``Window.span`` 32-byte
 hashes marks an anchor; equal windows mark the same place, so it is enough to
-sort the suffixes at anchors, one in about 128 bytes, each with the few bytes
+sort the suffixes at anchors, one in about half a span, each with the few bytes
 before it that its windows reach back to.  The bytes that follow an anchor and
 lie in all its windows are hashed first, and only anchors whose hash occurs
 twice are sorted: the others can't have an equal window.
@@ -17,12 +18,12 @@ run, what its head shares with the last winner: longer wins without looking at
 a byte, and equals are compared beyond what they are known to share.  The merge
 hands on those lengths, from which equal windows follow: two suffixes that
 share r bytes after the anchor and l before it have the same windows from
-``LENGTH - r`` to ``l`` bytes before it.
+``length - r`` to ``l`` bytes before it.
 
 A hash that occurs more than ``CROWD`` times is not gathered: the windows of its
 anchors are grouped by their digests with ordinary aggregation and joins.
 
-Null text counts as empty.  Texts under ``LENGTH`` bytes are left whole.  Repeated
+Null text counts as empty.  Texts shorter than a window are left whole.  Repeated
 rows repeat each other, whatever their ids.
 """
 
@@ -32,20 +33,19 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import FILE, ROW, row_keyed, ship
+from palisade.llm.common import FILE, ROW, own_columns, row_keyed, ship
 from palisade.session import materialise
 
 LENGTH = 400
 SPAN = 256
 GRAM = 32
-#: Bytes after an anchor that all its windows hold.
-CORE = LENGTH - SPAN + 1
 CROWD = 50_000
 #: Bytes of a text that are hashed at a time, and of suffixes in a run.
 _SEGMENT = 1 << 19
@@ -53,14 +53,30 @@ _RUN = 1 << 24
 _BASE = 0x5851F42D4C957F2D
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = _SEGMENT + LENGTH + 1
+@dataclass(frozen=True)
+class Window:
+    """Length of the repeated strings, and how many of its first hashes choose a window's anchor (at most 256)."""
+
+    length: int = LENGTH
+    span: int = SPAN
+
+    @property
+    def core(self) -> int:
+        """Bytes after an anchor that all its windows hold."""
+        return self.length - self.span + 1
+
+
+WINDOW = Window()
+
+
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    n = _SEGMENT + length + 1
     ups, downs = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
     ups[0] = downs[0] = 1
     return np.multiply.accumulate(ups), np.multiply.accumulate(downs)
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,29 +84,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, window: Window = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, first and last window start, hash of the core) of a text's anchors."""
-    if not _POWERS:
-        _POWERS.append(_powers())
-    ups, downs = _POWERS[0]
+    length, span, core = window.length, window.span, window.core
+    if length not in _POWERS:
+        _POWERS[length] = _powers(length)
+    ups, downs = _POWERS[length]
     out = []
-    for at in range(0, max(0, len(data) - LENGTH + 1), _SEGMENT):
-        part = np.frombuffer(data, np.uint8, min(len(data) - at, _SEGMENT + LENGTH - 1), at)
-        n = len(part) - LENGTH + 1  # windows
+    for at in range(0, max(0, len(data) - length + 1), _SEGMENT):
+        part = np.frombuffer(data, np.uint8, min(len(data) - at, _SEGMENT + length - 1), at)
+        n = len(part) - length + 1  # windows
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part.astype(np.uint64) * ups[: len(part)], out=sums[1:])
-        grams = n + SPAN - 1
+        grams = n + span - 1
         keys = _mixed((sums[GRAM : GRAM + grams] - sums[:grams]) * downs[:grams])
         keys = (keys >> np.uint64(20) << np.uint64(20)) | np.arange(grams, dtype=np.uint64)
-        blocks = np.full(-(-grams // SPAN) * SPAN, ~np.uint64(0))
+        blocks = np.full(-(-grams // span) * span, ~np.uint64(0))
         blocks[:grams] = keys
-        blocks = blocks.reshape(-1, SPAN)
+        blocks = blocks.reshape(-1, span)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = (np.minimum(back[:n], ahead[SPAN - 1 : SPAN - 1 + n]) & np.uint64(0xFFFFF)).astype(np.int64)
+        least = (np.minimum(back[:n], ahead[span - 1 : span - 1 + n]) & np.uint64(0xFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.diff(least, prepend=-1))
         place = least[first]
-        cores = _mixed((sums[place + CORE] - sums[place]) * downs[place])
+        cores = _mixed((sums[place + core] - sums[place]) * downs[place])
         out.append((place + at, first + at, np.append(first[1:] - 1, n - 1) + at, cores))
     if not out:
         none = np.empty(0, np.int64)
@@ -200,7 +217,7 @@ def _common_end(a: bytes, b: bytes) -> int:
     return shared(a[::-1], b[::-1])
 
 
-def repeated_windows(group: list[tuple[int, bytes, int]]) -> list[list[tuple[int, int]]]:
+def repeated_windows(group: list[tuple[int, bytes, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Which windows of anchors with one core occur twice.
 
     ``group``: in order of the bytes after the anchor, (bytes after the anchor
@@ -216,13 +233,13 @@ def repeated_windows(group: list[tuple[int, bytes, int]]) -> list[list[tuple[int
                 continue
             spans = []
             for step in (-1, 1):
-                right, j = LENGTH, i
+                right, j = length, i
                 while 0 <= j + step < len(group):
                     right = min(right, group[j if step < 0 else j + 1][0])
                     j += step
-                    if LENGTH - right > high:
+                    if length - right > high:
                         break
-                    a, b = max(low, LENGTH - right), min(high, _common_end(left, group[j][1]))
+                    a, b = max(low, length - right), min(high, _common_end(left, group[j][1]))
                     if a <= b:
                         spans.append((a, b))
             out.append(spans)
@@ -232,7 +249,7 @@ def repeated_windows(group: list[tuple[int, bytes, int]]) -> list[list[tuple[int
         seen: dict[tuple[int, bytes], list[int]] = {}
         block, times = 0, {}
         for i, (common, left, count, low, high) in enumerate(group):
-            if common < LENGTH - reach:
+            if common < length - reach:
                 block += 1
             if low <= reach <= high:
                 key = (block, left[len(left) - reach :])
@@ -248,7 +265,7 @@ def repeated_windows(group: list[tuple[int, bytes, int]]) -> list[list[tuple[int
 _REF = "<qqI"
 
 
-def _runs(buckets: int):
+def _runs(buckets: int, window: Window):
     """Sorted, front-coded runs of the anchors of candidate texts, cut by bucket."""
 
     def closed(items: dict[tuple[bytes, bytes, int], list[bytes]]) -> pd.DataFrame:
@@ -268,7 +285,7 @@ def _runs(buckets: int):
                 data = text.encode()
                 for core, packed in zip(np.asarray(cores, np.int64).view(np.uint64).tolist(), np.asarray(places).tolist()):
                     place, high, low = packed >> 16, packed >> 8 & 255, packed & 255
-                    key = core.to_bytes(8, "big") + data[place : place + LENGTH - low]
+                    key = core.to_bytes(8, "big") + data[place : place + window.length - low]
                     left = data[place - high : place]
                     items.setdefault((key, left, low), []).append(struct.pack(_REF, fid, row, place))
                     size += len(key) + len(left)
@@ -281,7 +298,7 @@ def _runs(buckets: int):
     return run
 
 
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
+def _merged(group: pd.DataFrame, window: Window) -> pd.DataFrame:
     """Repeated windows, as (text, first start, last start), of a bucket's runs."""
     found = []
 
@@ -300,14 +317,14 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
             items.append([max(0, common - 8), left, n, low, size, [refs], key])
         if len(items) == 1 and items[0][2] == 1:
             return
-        for (_, _, _, _, _, refs, _), spans in zip(items, repeated_windows([tuple(x[:5]) for x in items])):
+        for (_, _, _, _, _, refs, _), spans in zip(items, repeated_windows([tuple(x[:5]) for x in items], window.length)):
             for a, b in spans:
                 for part in refs:
                     found.extend((fid, row, place - b, place - a) for fid, row, place in struct.iter_unpack(_REF, part))
 
     members: list = []
     for common, key, payload in merge([front_decoded(run) for run in group["run"]]):
-        if members and common < 8 + CORE:
+        if members and common < 8 + window.core:
             settle(members)
             members = []
         members.append((common, key, payload))
@@ -316,41 +333,48 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["fid", "row", "first", "last"])
 
 
-def _crowded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _crowded(length: int):
     """Digest of every window of the anchors in each row."""
-    for batch in batches:
-        for fid, row, text, places in zip(batch["fid"], batch["row"], batch["text"], batch["places"]):
-            data, out = text.encode(), []
-            for packed in np.asarray(places).tolist():
-                place, high, low = packed >> 16, packed >> 8 & 255, packed & 255
-                for start in range(place - high, place - low + 1):
-                    out.append((hashlib.blake2b(data[start : start + LENGTH], digest_size=16).digest(), fid, row, start))
-            yield pd.DataFrame(out, columns=["window", "fid", "row", "start"])
-
-
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        cores, places, digests = [], [], []
-        for text in batch["text"]:
-            data = text.encode()
-            place, first, last, core = anchors(data)
-            cores.append(core.view(np.int64))
-            places.append(place << 16 | (place - first) << 8 | (place - last))
-            digests.append((len(data), hashlib.sha256(data).hexdigest()))
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "fid": batch["fid"],
-                "row": batch["row"],
-                "n_bytes": [d[0] for d in digests],
-                "sha": [d[1] for d in digests],
-                "cores": cores,
-                "places": places,
-            }
-        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for fid, row, text, places in zip(batch["fid"], batch["row"], batch["text"], batch["places"]):
+                data, out = text.encode(), []
+                for packed in np.asarray(places).tolist():
+                    place, high, low = packed >> 16, packed >> 8 & 255, packed & 255
+                    for start in range(place - high, place - low + 1):
+                        out.append((hashlib.blake2b(data[start : start + length], digest_size=16).digest(), fid, row, start))
+                yield pd.DataFrame(out, columns=["window", "fid", "row", "start"])
+
+    return run
+
+
+def _anchor_rows(window: Window):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cores, places, digests = [], [], []
+            for text in batch["text"]:
+                data = text.encode()
+                place, first, last, core = anchors(data, window)
+                cores.append(core.view(np.int64))
+                places.append(place << 16 | (place - first) << 8 | (place - last))
+                digests.append((len(data), hashlib.sha256(data).hexdigest()))
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "fid": batch["fid"],
+                    "row": batch["row"],
+                    "n_bytes": [d[0] for d in digests],
+                    "sha": [d[1] for d in digests],
+                    "cores": cores,
+                    "places": places,
+                }
+            )
+
+    return run
 
 
-def repeats(docs: DataFrame, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", window: Window = WINDOW) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, fid, row, n_bytes, sha), and the texts that hold repeats with their window ranges."""
     ship(docs)
     spark = docs.sparkSession
@@ -362,7 +386,7 @@ def repeats(docs: DataFrame, crowd: int = CROWD, id_col: str = "doc_id", text_co
         F.col(ROW).alias("row"),
     )
     schema = "doc_id long, fid long, row long, n_bytes long, sha string, cores array<long>, places array<long>"
-    meta = materialise(rows.mapInPandas(_anchor_rows, schema), "anchors")
+    meta = materialise(rows.mapInPandas(_anchor_rows(window), schema), "anchors")
     each = meta.select("fid", "row", F.explode(F.arrays_zip("cores", "places")).alias("x")).select("fid", "row", "x.cores", "x.places")
     twice = each.groupBy("cores").count().filter("count > 1").withColumn("crowded", F.col("count") > crowd).drop("count")
     wanted = each.join(twice, "cores").groupBy("fid", "row").agg(
@@ -372,12 +396,12 @@ def repeats(docs: DataFrame, crowd: int = CROWD, id_col: str = "doc_id", text_co
     texts = materialise(rows.drop("doc_id").join(wanted, ["fid", "row"]), "candidates")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     calm = texts.select("fid", "row", "text", F.col("calm.cores").alias("cores"), F.col("calm.places").alias("places"))
-    runs = calm.mapInPandas(_runs(buckets), "bucket int, run binary")
+    runs = calm.mapInPandas(_runs(buckets, window), "bucket int, run binary")
     schema = "fid long, row long, first long, last long"
-    ranges = runs.groupBy("bucket").applyInPandas(_merged, schema)
+    ranges = runs.groupBy("bucket").applyInPandas(lambda group: _merged(group, window), schema)
     if not twice.filter("crowded").isEmpty():
         crowded = texts.filter(F.size("crowded") > 0).select("fid", "row", "text", F.col("crowded").alias("places"))
-        windows = materialise(crowded.mapInPandas(_crowded, "window binary, fid long, row long, start long"), "windows")
+        windows = materialise(crowded.mapInPandas(_crowded(window.length), "window binary, fid long, row long, start long"), "windows")
         again = windows.groupBy("window").count().filter("count > 1").select("window")
         ranges = ranges.unionByName(
             windows.join(again, "window").select("fid", "row", F.col("start").alias("first"), F.col("start").alias("last"))
@@ -386,14 +410,14 @@ def repeats(docs: DataFrame, crowd: int = CROWD, id_col: str = "doc_id", text_co
     return meta.drop("cores", "places"), texts.select("fid", "row", "text").join(spans, ["fid", "row"])
 
 
-def removed_runs(first: list[int], last: list[int]) -> list[tuple[int, int]]:
+def removed_runs(first: list[int], last: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs (start, stop) of bytes covered by windows that start in the ranges."""
     out: list[list[int]] = []
     for a, b in sorted(zip(first, last)):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + LENGTH)
+            out[-1][1] = max(out[-1][1], b + length)
         else:
-            out.append([a, b + LENGTH])
+            out.append([a, b + length])
     return [(a, b) for a, b in out]
 
 
@@ -428,21 +452,21 @@ def repeated_bytes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated strings cut out of their texts.
+def drop_repeats(docs: DataFrame, window: Window = WINDOW) -> DataFrame:
+    """The documents with repeated strings cut out of their texts, from all places where they are.
 
     A character of which only some bytes are repeated stays.  Where there is an
     ``n_chars`` column it is counted anew for texts that change.
     """
     keyed = row_keyed(docs)
-    _, texts = repeats(keyed)
+    _, texts = repeats(keyed, window=window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 data, inner = r.text.encode(), []
-                for start, stop in removed_runs(list(r.first), list(r.last)):
+                for start, stop in removed_runs(list(r.first), list(r.last), window.length):
                     while start < stop and data[start] & 0xC0 == 0x80:
                         start += 1
                     while stop > start and stop < len(data) and data[stop] & 0xC0 == 0x80:
@@ -452,12 +476,14 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["_fid", "_row", "_rest"])
 
     cut = texts.mapInPandas(run, "_fid long, _row long, _rest string")
-    joined = keyed.withColumns({"_fid": F.xxhash64(FILE), "_row": F.col(ROW)}).join(cut, ["_fid", "_row"], "left")
+    # The caller's columns travel as one struct, so that none of their names can clash.
+    own = keyed.select(F.xxhash64(FILE).alias("_fid"), F.col(ROW).alias("_row"), F.struct(*own_columns(keyed)).alias("_doc"))
+    joined = own.join(cut, ["_fid", "_row"], "left")
     columns = []
     for name, kind in docs.dtypes:
-        column = F.col(f"`{name}`")
+        column = F.col("_doc").getField(name)
         if name == "text":
-            column = F.coalesce("_rest", "text")
+            column = F.coalesce(F.col("_rest"), column)
         elif name == "n_chars":
             column = F.when(F.col("_rest").isNotNull(), F.length("_rest")).otherwise(column).cast(kind)
         columns.append(column.alias(name))

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version, stage by stage; rules and exact dedup on odd rows."""
 
+import random
 from collections import Counter
 from hashlib import sha256
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palisade.llm import exact_dedup, quality_rules
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_components
 from tests.llm.test_tokens import check_packing, library
 
 FOLDER = "/root/testdata/sf0.001"
@@ -81,15 +82,15 @@ def test_exact_dedup_on_odd_rows(odd, monkeypatch, digest):
     assert exact_dedup.exact_duplicates(odd.limit(0)).count() == 0
 
 
-def slow_passages(texts):
-    """Texts without repeated 400-byte strings, whole characters only."""
-    seen = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+def slow_passages(texts, size):
+    """Texts without repeated strings of ``size`` bytes, whole characters only."""
+    seen = Counter(t[i : i + size] for t in texts.values() for i in range(len(t) - size + 1))
     out = {}
     for d, t in texts.items():
         gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+        for i in range(len(t) - size + 1):
+            if seen[t[i : i + size]] > 1:
+                gone[i : i + size] = b"\1" * size
         rest, at = [], 0
         for c in t.decode():
             n = len(c.encode())
@@ -100,16 +101,27 @@ def slow_passages(texts):
     return out
 
 
+def slow_shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    """Jaccard similarity of at least 0.8; sets without a shingle are equal."""
+    return len(a & b) * 5 >= len(a | b) * 4
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     docs = {d: t for d, t in docs.items() if slow_rules(t)[-1]}
     last = {t: d for d, t in sorted(docs.items())}
     docs = {d: t for t, d in last.items()}
-    codes = {d: slow_fingerprint(t) for d, t in docs.items()}
+    sets = {d: slow_shingles(t) for d, t in docs.items()}
     ids = sorted(docs)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (codes[a] ^ codes[b]).bit_count() <= 3]
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if alike(sets[a], sets[b])]
+    assert pairs
     docs = {d: docs[d] for d, top in slow_components(ids, pairs).items() if d == top}
-    docs = slow_passages({d: t.encode() for d, t in docs.items()})
+    docs = slow_passages({d: t.encode() for d, t in docs.items()}, corpus_pipeline.PASSAGE.length)
     out = corpus_pipeline.run(spark, FOLDER).collect()
     check_packing(out, 1024)
     lengths = {}
@@ -119,6 +131,33 @@ def test_pipeline_equals_brute_force(spark):
     assert lengths == {d: len(x) + 1 for d, x in zip(docs, encoded)}
 
 
+def test_passages_of_fifty_short_words_are_caught(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 6)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    planted = [said(n) for n in (52, 56, 60, 70) for _ in range(5)]
+    texts = [f"{said(60)} {p} {said(60)}" for p in planted for _ in range(2)] + [said(150) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.passages(spark, df, FOLDER).collect()}
+    caught = sum(planted[i // 2][30:-30] not in kept[i] for i in range(2 * len(planted)))
+    assert caught >= 0.9 * 2 * len(planted) and all(kept[i] == texts[i] for i in range(2 * len(planted), len(texts)))
+
+
+CLASHES = ["node", "_rest", "_doc", "_fid", "_row", "_llm_file", "_llm_row", "fid", "row", "value", "key", "label", "bands", "name"]
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_clashing_names(spark, rows):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(rows)
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, FOLDER)
+        plain = {r["doc_id"]: r["text"] for r in stage(spark, docs, FOLDER).collect()}
+        got = out.collect()
+        assert out.columns == wide.columns and {r["doc_id"]: r["text"] for r in got} == plain and len(got) == len(plain), name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in CLASHES), name
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
