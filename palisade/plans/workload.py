@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from palisade.operators.encapsulate import (
     prompt_segments,
     unprotected_prompt,
 )
+from palisade.operators.intent_blocks import certificate, train_by_blocks
 from palisade.operators.intent_model import IntentModel, seed_model, train
 from palisade.operators.intent_score import intent, score, score_by_join
 from palisade.operators.scan import is_suspicious, rule_names, scan
@@ -63,6 +66,8 @@ FORGED_TAGS = [
 ]
 
 SCORE_DIGITS = 4
+#: The largest derivative of the objective that counts as none; weights are within it of the optimum.
+MAX_GRADIENT = 1e-4
 DOCS_CONFIG = "config_id string, intent_threshold double, block_on_sanitizer boolean, block_on_intent boolean"
 CONFIGS = [("system", 0.3, False, True), ("user", 0.5, True, True), ("assistant", 0.55, True, False)]
 
@@ -352,7 +357,7 @@ def _label_model(spark: SparkSession, folder: str) -> IntentModel:
     """One model per application and folder, fitted on first use."""
     version = (spark.sparkContext.applicationId, folder)
     if version not in _label_models:
-        _label_models[version] = train(labelled(spark, folder), tol=1e-6)
+        _label_models[version] = train(labelled(spark, folder), tol=1e-9)
     return _label_models[version]
 
 
@@ -361,6 +366,23 @@ def train_intent(spark: SparkSession, folder: str) -> DataFrame:
     return _label_model(spark, folder).grams
 
 
+def _certified(model: IntentModel, samples: DataFrame, scale: float = 1.0) -> DataFrame:
+    found = certificate(model, samples)
+    return found.select("n_grams", "n_samples", (F.col("gradient") / scale < MAX_GRADIENT).alias("at_optimum"))
+
+
+def fit_certificate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether no derivative is left at that model of the objective that MLlib lowers, the mean loss and its penalty."""
+    model = _label_model(spark, folder)
+    return _certified(model, labelled(spark, folder), fv.INVERSE_REGULARISATION * model.n_samples)
+
+
+def block_fit_certificate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether none is left of the summed loss, a bound many times as strict, where all vectors are in tables."""
+    samples = labelled(spark, folder)
+    return _certified(train_by_blocks(samples, tol=MAX_GRADIENT), samples)
+
+
 def trained_confusion(spark: SparkSession, folder: str) -> DataFrame:
     """Error rates of that model on its own training documents, per language."""
     samples = labelled(spark, folder)
@@ -477,6 +499,18 @@ def stream_guard(spark: SparkSession, folder: str) -> DataFrame:
     return _guard_view(spark.read.schema(guarded.schema).parquet(f"{out}/rows"))
 
 
+def stream_guard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The same stream through the model in join form, in batches."""
+    schema = "conv_id long, turn long, role string, text string"
+    turns = gs.read_prompt_stream(spark, folder, schema, glob="conversations.parquet")
+    prompt_id = F.col("conv_id") * 8 + F.col("turn")
+    arriving = turns.select(prompt_id.alias("prompt_id"), overlaid(F.col("text"), prompt_id).alias("text"))
+    out = scratch_path(spark, "stream")
+    query = gs.start_batches(arriving, replace(seed_model(spark), by_join=True), f"{out}/rows", f"{out}/state", available_now=True)
+    query.awaitTermination()
+    return _guard_view(spark.read.parquet(f"{out}/rows"))
+
+
 QUERIES = {
     "scan_prompts": scan_prompts,
     "findings_long": findings_long,
@@ -502,6 +536,8 @@ QUERIES = {
     "intent_score_documents": intent_score_documents,
     "intent_score_join": intent_score_join,
     "train_intent": train_intent,
+    "fit_certificate": fit_certificate,
+    "block_fit_certificate": block_fit_certificate,
     "trained_confusion": trained_confusion,
     "confusion": confusion,
     "threshold_sweep": threshold_sweep,
@@ -512,4 +548,5 @@ QUERIES = {
     "funnel": funnel,
     "funnel_documents": funnel_documents,
     "stream_guard": stream_guard,
+    "stream_guard_join": stream_guard_join,
 }

@@ -41,10 +41,9 @@ def guard_stream(
     """Scan, score, gate and assemble each arriving row.
 
     Every step is stateless, scoring included, so the stream runs in append mode
-    without watermark or state store.
+    without watermark or state store.  A model in join form needs
+    :func:`start_batches`.
     """
-    if model.broadcast is None:
-        raise ValueError("streams need a model within the broadcast bound")
     return guard(prompts, model, config, text_col, tool_context)
 
 
@@ -55,3 +54,33 @@ def start(guarded: DataFrame, path: str, checkpoint: str, available_now: bool =
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def start_batches(
+    prompts: DataFrame,
+    model: IntentModel,
+    path: str,
+    checkpoint: str,
+    config: GuardConfig = GuardConfig(),
+    text_col: str = "text",
+    tool_context: str | None = None,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Guard a stream batch by batch, for models of any size.
+
+    Scoring by join aggregates, which a stream could only do with state; inside
+    of a batch it is an ordinary job.  A batch writes the folder
+    ``batch_id=<number>`` of ``path`` and replaces whatever an earlier try left in
+    it.  The stream's checkpoint gives a batch that is run again the same number
+    and rows, so each row is in the result once, after any failure; readers of
+    ``path`` get the number as a column.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        guarded = guard(batch, model, config, text_col, tool_context)
+        guarded.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+    writer = prompts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
