@@ -181,7 +181,6 @@ INTENT_REASON_FORMAT = "Blocked by intent classifier (adversarial_score=%.2f)"
 BYPASS_REASON = "Proxy bypassed by user."
 # Our own: a request that could not be read.
 MALFORMED_REASON = "Malformed request."
-CONTEXT_REASON = "Tool context too large for one prompt."
 LAYER1_LABEL = "Blocked by Layer 1 (Input Sanitizer)"
 LAYER3_LABEL = "Blocked by Layer 3 (Intent Classifier)"
 RISK_HIGH_ABOVE, RISK_ELEVATED_ABOVE = 0.7, 0.45

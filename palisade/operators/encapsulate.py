@@ -9,24 +9,12 @@ from palisade import fixed_values as fv
 from palisade.functions import boundary as bd
 from palisade.functions.text import as_column
 
-# Tool text above this size is assembled in rows, not as one string.
-MAX_CONTEXT_BYTES = 128 * 1024 * 1024
-
-
-def oversized_contexts(
-    tool_blocks: DataFrame, key: str = "prompt_id", max_bytes: int = MAX_CONTEXT_BYTES
-) -> DataFrame:
-    """Keys whose tool text is larger than ``max_bytes``."""
-    size = F.octet_length("content") + F.coalesce(F.octet_length("source"), F.lit(0))
-    sizes = tool_blocks.groupBy(key).agg(F.sum(size.cast("long")).alias("bytes"))
-    return sizes.filter(F.col("bytes") > max_bytes).select(key)
-
 
 def collect_tool_blocks(tool_blocks: DataFrame, key: str = "prompt_id") -> DataFrame:
     """One row per key with its blocks as an array in ``pos`` order.
 
-    A key's blocks meet in one row here; the callers below leave out keys whose
-    text is beyond a bound.
+    A key's blocks meet in one row here, as they must where a prompt is one string;
+    ``prompt_segments``, ``bypass_segments`` and ``message_segments`` have no such row.
     """
     block = F.struct("pos", "trust_level", "content", "source")
     ordered = F.array_sort(F.collect_list(block))
@@ -47,30 +35,18 @@ def attach_tool_blocks(
     tool_blocks: DataFrame,
     key: str = "prompt_id",
     only_where: Column | None = None,
-    max_bytes: int = MAX_CONTEXT_BYTES,
 ) -> DataFrame:
-    """Left join of prompts and their ordered tool blocks.
-
-    Adds ``tool_context`` and ``context_too_large``.  A prompt becomes one
-    string, so tool text beyond ``max_bytes`` is not collected: such prompts are
-    marked and left without context, and :func:`prompt_segments` gives them
-    whole, in rows.  ``only_where`` limits which prompts receive blocks; it is a
-    condition of the join, since a null key for the others would gather them all
-    in one partition.  Blocks that no prompt receives are dropped before any is
-    collected.
+    """Left join of prompts and their ordered tool blocks, as the array ``tool_context``.
+
+    ``only_where`` limits which prompts receive blocks; it is a condition of the
+    join, since a null key for the others would gather them all in one partition.
+    Blocks that no prompt receives are dropped before any is collected.
     """
     wanted = F.lit(True) if only_where is None else only_where
     tool_blocks = tool_blocks.join(prompts.filter(wanted).select(key), key, "left_semi")
-    oversized = oversized_contexts(tool_blocks, key, max_bytes)
-    fitting = tool_blocks.join(oversized, key, "left_anti")
-    contexts = collect_tool_blocks(fitting, key).withColumnRenamed(key, "__tool_key")
-    large = oversized.select(F.col(key).alias("__large_key"))
-    return (
-        prompts.join(contexts, (F.col(key) == F.col("__tool_key")) & wanted, "left")
-        .join(large, (F.col(key) == F.col("__large_key")) & wanted, "left")
-        .withColumn("context_too_large", F.col("__large_key").isNotNull())
-        .drop("__tool_key", "__large_key")
-    )
+    contexts = collect_tool_blocks(tool_blocks, key).withColumnRenamed(key, "__tool_key")
+    joined = prompts.join(contexts, (F.col(key) == F.col("__tool_key")) & wanted, "left")
+    return joined.drop("__tool_key")
 
 
 def attach_where_contains(
@@ -79,11 +55,10 @@ def attach_where_contains(
     keyword: str = fv.TOOL_KEYWORD,
     key: str = "prompt_id",
     text_col: str = "text",
-    max_bytes: int = MAX_CONTEXT_BYTES,
 ) -> DataFrame:
     """Attach blocks only to prompts whose lower-cased text contains ``keyword``."""
     wanted = F.contains(F.lower(F.col(text_col)), F.lit(keyword))
-    return attach_tool_blocks(prompts, tool_blocks, key, wanted, max_bytes)
+    return attach_tool_blocks(prompts, tool_blocks, key, wanted)
 
 
 def prompt_segments(
@@ -149,16 +124,13 @@ def assemble(
     """Add ``final_prompt`` and ``structured_messages``.
 
     The wrapped tool and user text is built once and used in both.  ``when``
-    leaves both columns null on rows where it is false, and so does a true
-    ``context_too_large``.
+    leaves both columns null on rows where it is false.
     """
     text = F.col(user_text) if isinstance(user_text, str) else user_text
     tools = F.col(tool_context) if tool_context else None
     boundary = bd.boundary_id(salt)
     rules = as_column(system_rules)
     wanted = text.isNotNull() if when is None else when
-    if tool_context and "context_too_large" in df.columns:
-        wanted = wanted & ~F.col("context_too_large")
 
     context = F.when(wanted, _wrapped_context(text, tools, boundary))
     staged = df.select("*", context.alias("__context"))

@@ -75,17 +75,6 @@ def decide(
     )
 
 
-def _refuse_without_context(decided: DataFrame) -> DataFrame:
-    """A prompt whose tool text isn't in its row has no prompt to deliver: it is not allowed."""
-    missing = F.col("context_too_large")
-    return decided.withColumns(
-        {
-            "reason": F.when(F.col("allowed") & missing, fv.CONTEXT_REASON).otherwise(F.col("reason")),
-            "allowed": F.col("allowed") & ~missing,
-        }
-    )
-
-
 def judge(
     prompts: DataFrame,
     model: IntentModel,
@@ -101,8 +90,6 @@ def judge(
 
 
 def _assembled(judged: DataFrame, config: GuardConfig, tool_context: str | None) -> DataFrame:
-    if tool_context and "context_too_large" in judged.columns:
-        judged = _refuse_without_context(judged)
     return assemble(
         judged,
         user_text=F.col("sanitization.cleaned_text"),
@@ -123,10 +110,9 @@ def guard(
 ) -> DataFrame:
     """Add sanitization, intent, allowed, reason, final_prompt and structured_messages.
 
-    With tool blocks in an array column and a model within the broadcast bound
-    this is one stage without a shuffle.
-    ``keys`` are needed only for models too large to broadcast.  Rows marked
-    ``context_too_large`` are refused; ``prompt_segments`` gives their prompts.
+    With tool blocks in an array column and a model in array form this is one
+    stage without a shuffle.  ``keys`` that identify the rows save a model in join
+    form a pass over the distinct texts.
     """
     return _assembled(judge(prompts, model, config, text_col, keys), config, tool_context)
 
@@ -223,10 +209,7 @@ def stage_status(block_on_intent: bool | Column = True, bypass: bool | Column =
         return out.otherwise(otherwise)
 
     sanitizer = status((blocked, "blocked"), (is_suspicious(), "warned"), otherwise="passed")
-    no_context = F.coalesce(F.col("reason") == fv.CONTEXT_REASON, F.lit(False))
-    layer3 = status(
-        (blocked, "pending"), (~enabled, "disabled"), (~allowed & ~no_context, "blocked"), otherwise="passed"
-    )
+    layer3 = status((blocked, "pending"), (~enabled, "disabled"), (~allowed, "blocked"), otherwise="passed")
     encapsulation = status((allowed, "protected"), otherwise="aborted")
     delivery = F.when(bypassed | allowed, "completed").otherwise("blocked")
     # A request that was refused unread has reached no layer.
@@ -243,10 +226,9 @@ def stage_status(block_on_intent: bool | Column = True, bypass: bool | Column =
 
 def blocked_at() -> Column:
     """Label of the layer that blocked the row; null where it passed."""
-    no_context = F.coalesce(F.col("reason") == fv.CONTEXT_REASON, F.lit(False))
-    return F.when(F.col("sanitization.blocked"), fv.LAYER1_LABEL).when(
-        ~F.col("allowed") & ~no_context, fv.LAYER3_LABEL
-    )
+    # A request that was refused unread has reached no layer.
+    refused = ~F.col("allowed") & F.col("sanitization").isNotNull()
+    return F.when(F.col("sanitization.blocked"), fv.LAYER1_LABEL).when(refused, fv.LAYER3_LABEL)
 
 
 def intent_risk() -> Column:

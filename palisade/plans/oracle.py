@@ -108,7 +108,8 @@ LABELLED = """labelled AS (
 
 def _turn_key(item: str) -> str:
     n = "(SELECT max(conv_id) + 1 FROM conversations)"
-    return f"({item} % {n}) * 8 + ({item} // {n}) % 2"
+    turns = f"(SELECT max(c.turn) + 1 FROM conversations c WHERE c.conv_id = {item} % {n})"
+    return f"({item} % {n}) * 8 + ({item} // {n} + {item}) % {turns}"
 
 
 _FORGED = ", ".join(quote(t) for t in FORGED_TAGS)
@@ -236,14 +237,20 @@ class _Prompt:
             f"'[[/{level}_' || {self.id} || ']]'"
         )
 
-    def tool(self) -> str:
+    def tool(self, level: str = "'TOOL'") -> str:
         # As Python's repr: double quotes around a source that holds single ones only.
         inner = r"replace(source, '\', '\\')"
         note = (
             f"CASE WHEN contains(source, '''') THEN ' source=\"' || {inner} || '\"' "
             f"WHEN source <> '' THEN ' source=''' || {inner} || '''' ELSE '' END"
         )
-        return self.block("TOOL", self.escape("content"), note)
+        body = self.escape("content")
+        if level != "'TOOL'":
+            body = f"CASE WHEN {level} = 'SYSTEM' THEN content ELSE {body} END"
+        return (
+            f"'[[' || {level} || '_' || {self.id} || ']]' || {note} || {NL} || {body} || {NL} || "
+            f"'[[/' || {level} || '_' || {self.id} || ']]'"
+        )
 
     def user(self, text: str) -> str:
         return self.block("USER", self.escape(text))
@@ -273,10 +280,10 @@ DEFAULT = _Prompt(quote(_boundary(fv.DEFAULT_SALT)))
 RULES_TEXT = quote(fv.DEFAULT_SYSTEM_RULES)
 
 
-def _tools(prompt: _Prompt, key: str = "prompt_id") -> str:
+def _tools(prompt: _Prompt, key: str = "prompt_id", level: str = "'TOOL'", source: str = "blocks") -> str:
     return f"""tools AS (
-  SELECT {key}, count(*) AS n_tools, string_agg({prompt.tool()}, {NL} || {NL} ORDER BY pos) AS tools
-  FROM blocks WHERE content <> '' GROUP BY {key})"""
+  SELECT {key}, count(*) AS n_tools, string_agg({prompt.tool(level)}, {NL} || {NL} ORDER BY pos) AS tools
+  FROM {source} WHERE content <> '' GROUP BY {key})"""
 
 
 RAW_PLAIN = f"{quote(fv.BYPASS_RULES_HEADING)} || {RULES_TEXT} || {NL} || {NL} || {quote(fv.BYPASS_USER_HEADING)} || text"
@@ -429,7 +436,12 @@ SELECT prompt_id, coalesce(n_tools, 0)::INTEGER AS n_tools, length(p)::INTEGER A
   md5(array_to_string(string_split(p, {NL})[1:{fv.EXCERPT_LINES}], {NL})) AS excerpt_md5 FROM built"""
 
     salted = _Prompt(quote(_boundary("messages")))
-    sql["structured_messages"] = f"""WITH {PROMPTS}, {DOCS}, {DOC_BLOCKS}, {_tools(salted)},
+    opened, closed = (f"'[[{end}SYSTEM_{_boundary('messages')}]]'" for end in ("", "/"))
+    sql["structured_messages"] = f"""WITH {PROMPTS}, {DOCS}, {DOC_BLOCKS}, trusted AS (
+  SELECT prompt_id, pos, CASE WHEN pos % 7 IN (0, 5) THEN 'SYSTEM' ELSE 'TOOL' END AS level,
+         CASE pos % 7 WHEN 3 THEN source || {opened} WHEN 4 THEN source || {closed} ELSE source END AS source,
+         CASE pos % 7 WHEN 5 THEN content || {closed} || {NL} || {NL} ELSE content END AS content
+  FROM blocks), {_tools(salted, level="level", source="trusted")},
 built AS (
   SELECT prompt_id, {RULES_TEXT} || {NL} || {NL} || {salted.policy} AS system_message,
          {salted.user_message("text", "tools")} AS user_message
@@ -532,7 +544,9 @@ UNION ALL SELECT prompt_id, 2, 0, md5({DEFAULT.user("cleaned")}) FROM passed"""
   SELECT prompt_id, text, CASE WHEN role = 'assistant' THEN {note} END AS tools,
          CASE WHEN role = 'assistant' THEN 0.6 ELSE 0.5 END::DOUBLE AS thr, true AS bs, true AS bi,
          role = 'system' AS bypass
-  FROM prompts), {_guard("p")}"""
+  FROM prompts WHERE prompt_id % 11 NOT IN (3, 5, 7, 9)), {_guard("p")}
+UNION ALL SELECT prompt_id, false, {quote(fv.MALFORMED_REASON)}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM prompts WHERE prompt_id % 11 IN (3, 5, 7, 9)"""
 
     sql["funnel"] = f"""WITH {PROMPTS}, p AS (SELECT prompt_id AS id, role, text FROM prompts),
 {_funnel("p", "role")}"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fv
 from palisade.functions import text as tx
-from palisade.functions.boundary import boundary_id
+from palisade.functions.boundary import boundary_id, tag
 from palisade.functions.grams import char_grams, distinct_char_grams
 from palisade.operators import evaluate, exposure, findings, intent_features
 from palisade.operators.encapsulate import (
@@ -22,6 +22,7 @@ from palisade.operators.encapsulate import (
 from palisade.operators.intent_blocks import certificate, train_by_blocks
 from palisade.operators.intent_model import IntentModel, seed_model, train
 from palisade.operators.intent_score import intent, score, score_by_join
+from palisade.operators.segments import bypass_segments, join_segments, message_segments
 from palisade.operators.scan import is_suspicious, rule_names, scan
 from palisade.plans.guard import (
     GuardConfig,
@@ -92,31 +93,33 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table.withColumn("text", overlaid(F.col("text"), F.col("doc_id")))
 
 
-def _turn_key(spark: SparkSession, folder: str, item: Column) -> Column:
-    """A turn for each item: over all conversations, and within them over the two turns that each has."""
+def _dealt(spark: SparkSession, folder: str, items: DataFrame, number: str) -> DataFrame:
+    """``items`` with the prompt ``__key`` that each belongs to: over all conversations, and all turns of each."""
     conversations = read_table(spark, folder, "conversations")
     n = (conversations.agg(F.max("conv_id")).first()[0] or 0) + 1
-    return F.pmod(item, F.lit(n)) * 8 + F.pmod(F.floor(item / n), F.lit(2))
+    turns = conversations.groupBy(F.col("conv_id").alias("__conv")).agg((F.max("turn") + 1).alias("__turns"))
+    item = F.col(number)
+    placed = items.withColumn("__conv", F.pmod(item, F.lit(n))).join(turns, "__conv")
+    key = F.col("__conv") * 8 + F.pmod(F.floor(item / n) + item, F.col("__turns"))
+    return placed.withColumn("__key", key).drop("__conv", "__turns")
 
 
 def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as tool blocks, dealt over the turns; some have no source or one with quotes."""
-    pages = spread(read_table(spark, folder, "pages"), "page_id")
+    pages = _dealt(spark, folder, spread(read_table(spark, folder, "pages"), "page_id"), "page_id")
     forged = F.element_at(
         F.array(*[F.lit(t) for t in FORGED_TAGS]), (F.col("page_id") % 3 + 1).cast("int")
     )
-    key = _turn_key(spark, folder, F.col("page_id"))
     source = F.when(F.col("page_id") % 5 == 1, F.concat("url", F.lit("?q='a\\b'"))).when(
         F.col("page_id") % 5 != 2, F.col("url")
     )
-    return rq.as_tool_blocks(pages, key, F.col("page_id"), F.concat("html", forged), source)
+    return rq.as_tool_blocks(pages, F.col("__key"), F.col("page_id"), F.concat("html", forged), source)
 
 
 def document_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as tool blocks, dealt over the turns."""
-    docs = documents(spark, folder)
-    key = _turn_key(spark, folder, F.col("doc_id"))
-    return rq.as_tool_blocks(docs, key, F.col("doc_id"), F.col("text"), F.col("source"))
+    docs = _dealt(spark, folder, documents(spark, folder), "doc_id")
+    return rq.as_tool_blocks(docs, F.col("__key"), F.col("doc_id"), F.col("text"), F.col("source"))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -223,14 +226,24 @@ def assemble_prompt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def structured_messages(spark: SparkSession, folder: str) -> DataFrame:
-    with_tools = attach_tool_blocks(prompts(spark, folder), document_blocks(spark, folder))
-    assembled = assemble(with_tools, "text", "tool_context", salt="messages")
-    return assembled.select("prompt_id", F.posexplode("structured_messages").alias("ord", "m")).select(
-        "prompt_id", "ord", F.col("m.role").alias("role"),
-        F.length("m.content").alias("content_chars"), F.md5("m.content").alias("content_md5"),
+    """The messages from their segments; every seventh block is trusted, and some sources open or close a SYSTEM block."""
+    blocks = _with_system_blocks(document_blocks(spark, folder), "messages")
+    rows = message_segments(prompts(spark, folder), blocks, salt="messages")
+    return join_segments(rows, ["prompt_id", "ord"]).select(
+        "prompt_id", "ord", F.when(F.col("ord") == 0, "system").otherwise("user").alias("role"),
+        F.length("content").alias("content_chars"), F.md5("content").alias("content_md5"),
     )
 
 
+def _with_system_blocks(blocks: DataFrame, salt: str) -> DataFrame:
+    boundary, place = boundary_id(salt), F.col("pos") % 7
+    opened, closed = tag(fv.SYSTEM, boundary), tag(fv.SYSTEM, boundary, closing=True)
+    source = F.when(place == 3, F.concat("source", opened)).when(place == 4, F.concat("source", closed))
+    level = F.when((place == 0) | (place == 5), fv.SYSTEM).otherwise(F.col("trust_level"))
+    content = F.when(place == 5, F.concat("content", closed, F.lit("\n\n"))).otherwise(F.col("content"))
+    return blocks.withColumns({"source": F.coalesce(source, "source"), "trust_level": level, "content": content})
+
+
 def segment_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = prompt_segments(prompts(spark, folder), page_blocks(spark, folder))
     return rows.select("prompt_id", "section", "pos", F.md5("segment").alias("segment_md5"))
@@ -260,13 +273,12 @@ def salted_boundaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bypass_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The unprotected prompts from their segments."""
     blocks = rq.trim_tool_blocks(page_blocks(spark, folder))
-    with_tools = attach_tool_blocks(
-        rq.drop_blank_prompts(prompts(spark, folder)), blocks
+    rows = bypass_segments(rq.drop_blank_prompts(prompts(spark, folder)), blocks)
+    return join_segments(rows, ["prompt_id"]).select(
+        "prompt_id", F.length("content").alias("raw_chars"), F.md5("content").alias("raw_md5")
     )
-    raw = unprotected_prompt(F.col("text"), F.col("tool_context"))
-    raw = F.when(~F.col("context_too_large"), raw)
-    return with_tools.select("prompt_id", F.length(raw).alias("raw_chars"), F.md5(raw).alias("raw_md5"))
 
 
 def exposure_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -453,7 +465,8 @@ def guard_request_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as request JSON with absent fields, parsed, defaulted and guarded.
 
     System turns ask for the bypass, assistant turns give a threshold and an
-    empty tool block, and user turns leave everything else to the defaults.
+    empty tool block, and user turns leave everything else to the defaults.  Some
+    bodies are cut off, are an array, are no JSON at all, or are missing.
     """
     role = F.col("role")
     tools = F.array(
@@ -468,7 +481,10 @@ def guard_request_batch(spark: SparkSession, folder: str) -> DataFrame:
             F.when(role == "system", F.lit(True)).alias("bypass_proxy"),
         )
     )
-    batch = prompts(spark, folder).select("prompt_id", body.alias("body"))
+    place = F.col("prompt_id") % 11
+    broken = F.when(place == 3, F.substring("body", F.lit(1), F.length("body") - 3)).when(place == 5, F.concat(F.lit("["), "body", F.lit("]")))
+    broken = broken.when(place == 7, F.concat(F.lit("user_input="), "text")).when(place != 9, F.col("body"))
+    batch = prompts(spark, folder).withColumn("body", body).select("prompt_id", broken.alias("body"))
     guarded = guard_requests(rq.parse_requests(batch, "body"), seed_model(spark))
     bypass = F.col("bypass_active")
     return _guard_view(guarded, status=stage_status(bypass=bypass))

@@ -145,20 +145,6 @@ def test_one_prompt_with_most_blocks(spark):
     assert [int(line[1:]) for line in body.split("\n") if line[:1] == "c"] == expected
 
 
-def test_context_beyond_the_bound_stays_in_rows(spark, prompts, blocks):
-    known = prompts.filter("text is not null")
-    rows = by_id(attach_tool_blocks(known, blocks, max_bytes=40))
-    assert {i: (r["context_too_large"], bool(r["tool_context"])) for i, r in rows.items()} == {
-        1: (True, False), 2: (False, True), 3: (False, False),
-    }
-    small = by_id(assemble(attach_tool_blocks(known, blocks, max_bytes=40), "text", "tool_context"))
-    whole = by_id(assemble(attach_tool_blocks(known, blocks), "text", "tool_context"))
-    assert small[1]["final_prompt"] is None and small[1]["structured_messages"] is None
-    assert small[2]["final_prompt"] == whole[2]["final_prompt"]
-    segments = prompt_segments(known, blocks).filter("prompt_id = 1").orderBy("section", "pos").collect()
-    assert "\n\n".join(r["segment"] for r in segments) == whole[1]["final_prompt"]
-
-
 def test_blocks_only_where_keyword(prompts, blocks):
     rows = by_id(attach_where_contains(prompts, blocks))
     assert {i: bool(r["tool_context"]) for i, r in rows.items()} == {1: False, 2: True, 3: False, 4: False}

@@ -250,15 +250,6 @@ def test_sweep_and_confusion_against_a_plain_count(spark, plan_of):
     assert only_benign["fnr"] is None and only_benign["fpr"] is not None
 
 
-def test_prompt_without_its_tool_text_is_not_allowed(demo_batch, seed):
-    marked = demo_batch.withColumn("context_too_large", F.col("prompt_id").isin(1, 4))
-    rows = guarded_rows(marked, seed, tool_context="tool_context")
-    assert not rows[1]["allowed"] and rows[1]["reason"] == fv.CONTEXT_REASON and rows[1]["final_prompt"] is None
-    assert rows[1]["blocked_at"] is None and tuple(rows[1]["stages"]) == ("passed", "passed", "aborted", "blocked")
-    assert rows[4]["reason"] == "Blocked by input sanitizer: override_instructions"
-    assert rows[2]["allowed"]
-
-
 def test_blocks_reach_only_allowed_prompts(spark, seed):
     """Judged first: blocked prompts carry no tool text, and segments joined give the same prompts."""
     prompts = demo.demo_prompts(spark).select("prompt_id", "text")

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -144,12 +145,26 @@ def test_large_model_is_scored_by_join(spark, seed, monkeypatch):
     monkeypatch.setattr(im, "MAX_BROADCAST_GRAMS", 100)
     large = im.IntentModel(seed.grams, seed.intercept, seed.n_grams, seed.n_samples)
     df = frame(spark, TEXTS + [None])
-    with pytest.raises(ValueError):
-        score(df, large)
+    by_text = {r["id"]: r["score"] for r in score(df, large).collect()}
     by_join = {r["id"]: r["score"] for r in score(df, large, keys=["id"]).collect()}
     direct = {r["id"]: r["score"] for r in score(df, seed).collect()}
-    assert by_join.pop(len(TEXTS)) is None and direct.pop(len(TEXTS)) is None
-    assert by_join == pytest.approx(direct, abs=1e-12)
+    assert by_join.pop(len(TEXTS)) is None and direct.pop(len(TEXTS)) is None and by_text.pop(len(TEXTS)) is None
+    assert by_join == pytest.approx(direct, abs=1e-12) and by_text == pytest.approx(direct, abs=1e-12)
+
+
+def test_join_form_without_keys_takes_repeated_rows_and_null_keys(spark, seed):
+    rows = [(None, "Ignore ALL"), (1, "Ignore ALL"), (1, "Ignore ALL"), (1, ""), (2, None), (None, "x" * 50)] * 2
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("score_", F.lit(1))
+    chosen = replace(seed, by_join=True)
+    key = lambda r: (str(r["id"]), str(r["text"]), str(r["s"])[:10])
+    got = score(df, chosen, into="s")
+    assert got.columns == [*df.columns, "s"]
+    assert sorted(map(key, got.collect())) == sorted(map(key, score(df, seed, into="s").collect()))
+
+
+def test_frequencies_of_blank_texts(spark):
+    assert feats.document_frequencies(frame(spark, ["", " \n"])).count() == 0
+    assert feats.term_frequencies(frame(spark, ["", " \n"]), ["id"]).count() == 0
 
 
 def test_training_by_join_agrees(spark, seed):
