@@ -34,7 +34,20 @@ FORMAT_CHAR_CLASS = (
     f"[{_class_body(_LOW)}[\\x{{600}}-\\x{{10FFFF}}&&[{_class_body(_REST)}]]]"
 )
 WHITESPACE_CLASS = f"[{_class_body(fv.PYTHON_WHITESPACE)}]"
-UNPRINTABLE_CLASS = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def _unprintable() -> list[Range]:
+    """The characters that Python doesn't print, by its own rule and its own version of Unicode."""
+    hidden = [cp for cp in range(0xAE, 0x110000) if not chr(cp).isprintable()]
+    starts = [cp for before, cp in zip([None, *hidden], hidden) if before != cp - 1]
+    stops = [cp for cp, after in zip(hidden, [*hidden[1:], None]) if after != cp + 1]
+    return list(zip(starts, stops))
+
+
+# Java's own classes follow another version of Unicode.  Latin text leaves the class early here too.
+UNPRINTABLE_CLASS = (
+    rf"[\x{{0}}-\x{{1F}}\x{{7F}}-\x{{A0}}\x{{AD}}[\x{{AE}}-\x{{10FFFF}}&&[{_class_body(_unprintable())}]]]"
+)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 # A run can only start where no run character precedes, so the look-behind keeps
@@ -131,8 +144,36 @@ def excerpt(text: Column, lines: int = fv.EXCERPT_LINES) -> Column:
     return F.array_join(F.slice(parts, F.lit(1), kept), "\n")
 
 
+def fixed_decimals(value: Column, digits: int, ties_up: bool = False) -> Column:
+    """A number from 0 to below 1024 with a fixed number of decimals, rounded from its exact binary value.
+
+    Ties go to the even neighbour, as in Python, or up, as in JavaScript.  A double
+    is a whole number of 2^-62 if it lies between 2^-9 and 1, and of 2^-52 above,
+    so rounding is a division of whole numbers.  Of up to two decimals, anything
+    below 2^-9 gives zero.  Other values, not-a-number included, give null.
+    """
+    if not 0 < digits <= 2:
+        raise ValueError("one or two decimals")
+    small = value < 1
+    bits = F.when(small, F.lit(62)).otherwise(F.lit(52))
+    whole = "decimal(38,0)"
+    unit = F.when(small, F.lit(2**62)).otherwise(F.lit(2**52)).cast(whole)
+    scaled = (value * F.pow(F.lit(2.0), bits)).cast("long").cast(whole) * F.lit(10**digits).cast(whole)
+    rest = (scaled % unit).cast(whole)
+    floor = ((scaled - rest) / unit).cast("long")
+    twice = (rest * 2).cast(whole)
+    up = (twice > unit) | ((twice == unit) & (F.lit(True) if ties_up else floor % 2 == 1))
+    rounded = floor + up.cast("long")
+    text = F.concat(
+        F.floor(rounded / 10**digits).cast("string"), F.lit("."), F.lpad((rounded % 10**digits).cast("string"), digits, "0")
+    )
+    zero = F.lit("0." + "0" * digits)
+    return F.when((value >= 0) & (value < 2.0**-9), zero).when((value >= 0) & (value < 1024), text)
+
+
 def percent(score: Column) -> Column:
-    return F.format_string("%.1f%%", score * 100)
+    """A score as a percentage with one decimal, as browsers show it."""
+    return F.concat(fixed_decimals(score * 100, 1, ties_up=True), F.lit("%"))
 
 
 def risk_band(score: Column) -> Column:

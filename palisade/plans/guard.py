@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fv
-from palisade.functions.text import as_column, risk_band
+from palisade.functions.text import as_column, fixed_decimals, risk_band
 from palisade.operators.encapsulate import assemble, attach_tool_blocks, prompt_segments, unprotected_prompt
 from palisade.operators.intent_model import IntentModel
 from palisade.operators.intent_score import intent, score
@@ -64,9 +64,9 @@ def decide(
     flagged = as_column(block_on_intent) & (score_value >= as_column(threshold))
     allowed = ~blocked & ~F.coalesce(flagged, F.lit(False))
     sanitizer_reason = F.concat(F.lit(fv.SANITIZER_REASON), F.array_join(rule_names(), ", "))
-    reason = F.when(blocked, sanitizer_reason).when(
-        flagged, F.format_string(fv.INTENT_REASON_FORMAT, score_value)
-    )
+    before, after = fv.INTENT_REASON_FORMAT.split("%.2f")
+    intent_reason = F.concat(F.lit(before), fixed_decimals(score_value, 2), F.lit(after))
+    reason = F.when(blocked, sanitizer_reason).when(flagged, intent_reason)
     return df.select(
         "*",
         intent(score_value, threshold).alias("intent"),

@@ -203,7 +203,7 @@ def _prediction(threshold: str = "0.5") -> str:
     flagged = f"score >= {threshold}"
     return f"""CASE WHEN {flagged} THEN 'adversarial' WHEN score IS NOT NULL THEN 'benign' END AS label,
   round(CASE WHEN {flagged} THEN score ELSE 1 - score END, {SCORE_DIGITS}) AS confidence,
-  round(score, {SCORE_DIGITS}) AS score,
+  round(score, {SCORE_DIGITS}) AS score, format('{{:.1f}}%', score * 100) AS shown,
   CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.45 THEN 'elevated'
        WHEN score IS NOT NULL THEN 'low' END AS risk"""
 
@@ -311,7 +311,7 @@ def _guard(source: str) -> str:
 SELECT prompt_id, bypass OR NOT (blocked OR flagged) AS allowed,
   CASE WHEN bypass THEN {quote(fv.BYPASS_REASON)}
        WHEN blocked THEN {quote(fv.SANITIZER_REASON)} || replace({RULE_LIST}, ',', ', ')
-       WHEN flagged THEN 'Blocked by intent classifier (adversarial_score' END AS reason_text,
+       WHEN flagged THEN {INTENT_REASON} END AS reason_text,
   CASE WHEN blocked THEN {quote(fv.LAYER1_LABEL)} WHEN flagged THEN {quote(fv.LAYER3_LABEL)} END AS blocked_at,
   CASE WHEN bypass THEN '' ELSE {RULE_LIST} END AS rules,
   CASE WHEN bypass THEN 'bypassed' WHEN score >= thr THEN 'adversarial'
@@ -332,6 +332,7 @@ SELECT prompt_id, bypass OR NOT (blocked OR flagged) AS allowed,
 FROM judged"""
 
 
+INTENT_REASON = "'Blocked by intent classifier (adversarial_score=' || format('{:.2f}', score) || ')'"
 PLAIN_SETTINGS = "NULL::VARCHAR AS tools, 0.5 AS thr, true AS bs, true AS bi, false AS bypass"
 
 
@@ -554,6 +555,19 @@ FROM prompts WHERE prompt_id % 11 IN (3, 5, 7, 9)"""
 {_funnel("p", "lang, source")}"""
     sql["stream_guard"] = f"""WITH {PROMPTS}, p AS (SELECT prompt_id, text, {PLAIN_SETTINGS} FROM prompts),
 {_guard("p")}"""
+    sql["stored_model_score"] = sql["intent_score"]
+    sql["responses_readback"] = f"""WITH {PROMPTS}, p AS (
+  SELECT prompt_id, text, {PLAIN_SETTINGS} FROM prompts WHERE role IN ('user', 'system')), {_judged("p")}
+SELECT prompt_id, role, NOT (blocked OR flagged) AS allowed,
+  CASE WHEN blocked THEN {quote(fv.SANITIZER_REASON)} || replace({RULE_LIST}, ',', ', ') WHEN flagged THEN {INTENT_REASON} END AS reason,
+  blocked, md5(cleaned) AS cleaned_md5, array_to_string(list_transform(findings, lambda f: f.matched_text), '|') AS matched,
+  round(score, {SCORE_DIGITS}) AS score,
+  CASE WHEN NOT (blocked OR flagged) THEN md5({DEFAULT.full("cleaned", RULES_TEXT)}) END AS prompt_md5,
+  CASE WHEN NOT (blocked OR flagged) THEN 2 END::INTEGER AS n_messages
+FROM judged JOIN (SELECT prompt_id, role FROM prompts) USING (prompt_id)"""
+    sql["findings_readback"] = f"""{prompt_scan}, {_long("prompt_id")}
+SELECT prompt_id, finding_ord::INTEGER AS finding_ord, f.rule_name, f.severity, f.matched_text FROM long
+WHERE f.rule_name IN ('encoding_smuggling', 'base64_payload', 'role_reassignment')"""
     sql["stream_guard_join"] = sql["stream_guard"]
     sql["fit_certificate"] = f"""WITH {LABELLED}, {_gram_counts("labelled", "doc_id", "text")}
 SELECT (SELECT count(DISTINCT gram) FROM tf) AS n_grams, count(*) AS n_samples, true AS at_optimum

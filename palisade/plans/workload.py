@@ -20,7 +20,7 @@ from palisade.operators.encapsulate import (
     unprotected_prompt,
 )
 from palisade.operators.intent_blocks import certificate, train_by_blocks
-from palisade.operators.intent_model import IntentModel, seed_model, train
+from palisade.operators.intent_model import IntentModel, seed_model
 from palisade.operators.intent_score import intent, score, score_by_join
 from palisade.operators.segments import bypass_segments, join_segments, message_segments
 from palisade.operators.scan import is_suspicious, rule_names, scan
@@ -35,10 +35,12 @@ from palisade.plans.guard import (
     join_config,
     stage_status,
 )
-from palisade.session import scratch_path
+from palisade.session import scratch_path, shared_dir
 from palisade.sources import requests as rq
 from palisade.sources.corpus import labelled_documents, labelled_union
+from palisade.sources.model_store import load_version, publish_model, train_or_load
 from palisade.sources.rules import rules_table
+from palisade.sources.sinks import read_responses, write_findings, write_responses
 from palisade.sources.tables import read_table, spread
 from palisade.streaming import guard_stream as gs
 
@@ -343,6 +345,7 @@ def _scored_view(scored: DataFrame, key: str) -> DataFrame:
         F.col("intent.label").alias("label"),
         _rounded("intent.confidence").alias("confidence"),
         _rounded("intent.adversarial_score").alias("score"),
+        tx.percent(F.col("intent.adversarial_score")).alias("shown"),
         intent_risk().alias("risk"),
     )
 
@@ -362,15 +365,13 @@ def intent_score_join(spark: SparkSession, folder: str) -> DataFrame:
     return _scored_view(score_by_join(texts, seed_model(spark), ["prompt_id"]), "prompt_id")
 
 
-_label_models: dict[tuple[str, str], IntentModel] = {}
+def _store(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/palisade/models"
 
 
 def _label_model(spark: SparkSession, folder: str) -> IntentModel:
-    """One model per application and folder, fitted on first use."""
-    version = (spark.sparkContext.applicationId, folder)
-    if version not in _label_models:
-        _label_models[version] = train(labelled(spark, folder), tol=1e-9)
-    return _label_models[version]
+    """The model of the labelled documents, fitted once per state of their data."""
+    return train_or_load(labelled(spark, folder), _store(spark), tol=1e-9)
 
 
 def train_intent(spark: SparkSession, folder: str) -> DataFrame:
@@ -396,9 +397,20 @@ def block_fit_certificate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trained_confusion(spark: SparkSession, folder: str) -> DataFrame:
-    """Error rates of that model on its own training documents, per language."""
+    """Error rates per language on documents that the model hasn't seen: every fifth, by hash of its id."""
     samples = labelled(spark, folder)
-    return evaluate.confusion(score(samples, _label_model(spark, folder)), by=["lang"])
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = train_or_load(samples.filter(~held_out), _store(spark), tol=1e-9)
+    return evaluate.confusion(score(samples.filter(held_out), model), by=["lang"])
+
+
+def stored_model_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the seed model after it went through a store of versions, in which another one is the latest."""
+    root = scratch_path(spark, "store")
+    model = seed_model(spark)
+    version = publish_model(model, root)
+    publish_model(replace(model, intercept=model.intercept + 1), root)
+    return _scored_view(score(_cleaned_prompts(spark, folder), load_version(spark, root, version)), "prompt_id")
 
 
 # --- evaluation --------------------------------------------------------------
@@ -426,7 +438,7 @@ def _guard_view(guarded: DataFrame, key: str = "prompt_id", status: Column | Non
     return guarded.select(
         key,
         "allowed",
-        F.regexp_replace("reason", "=.*", "").alias("reason_text"),
+        F.col("reason").alias("reason_text"),
         blocked_at().alias("blocked_at"),
         _names().alias("rules"),
         F.col("intent.label").alias("label"),
@@ -490,6 +502,32 @@ def guard_request_batch(spark: SparkSession, folder: str) -> DataFrame:
     return _guard_view(guarded, status=stage_status(bypass=bypass))
 
 
+def responses_readback(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses written as JSON by role, one role written again, and that role read back."""
+    guarded = guard(prompts(spark, folder), seed_model(spark))
+    path = scratch_path(spark, "responses")
+    write_responses(guarded, path, "json", "replace", ["role"])
+    write_responses(guarded.filter("role = 'user'"), path, "json", "replace", ["role"])
+    rows = read_responses(spark, path, guarded, "json").filter("role IN ('user', 'system')")
+    return rows.select(
+        "prompt_id", "role", "allowed", "reason", F.col("sanitizer.blocked").alias("blocked"),
+        F.md5("sanitizer.cleaned_text").alias("cleaned_md5"),
+        F.array_join("sanitizer.findings.matched_text", "|").alias("matched"),
+        _rounded("intent.adversarial_score").alias("score"), F.md5("final_prompt").alias("prompt_md5"),
+        F.size("structured_messages").alias("n_messages"),
+    )
+
+
+def findings_readback(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings written by rule, twice, and the rules of low severity read back."""
+    scanned = scan(prompts(spark, folder))
+    path = scratch_path(spark, "findings")
+    for _ in range(2):
+        write_findings(scanned, ["prompt_id"], path, "replace")
+    rows = spark.read.parquet(path).filter(F.col("rule_name").isin("encoding_smuggling", "base64_payload", "role_reassignment"))
+    return rows.select("prompt_id", "finding_ord", "rule_name", "severity", "matched_text")
+
+
 def funnel(spark: SparkSession, folder: str) -> DataFrame:
     guarded = guard(prompts(spark, folder), seed_model(spark))
     return evaluate.funnel(guarded, ["role"])
@@ -551,6 +589,7 @@ QUERIES = {
     "intent_score": intent_score,
     "intent_score_documents": intent_score_documents,
     "intent_score_join": intent_score_join,
+    "stored_model_score": stored_model_score,
     "train_intent": train_intent,
     "fit_certificate": fit_certificate,
     "block_fit_certificate": block_fit_certificate,
@@ -561,6 +600,8 @@ QUERIES = {
     "guarded_segments": guarded_segments,
     "guard_configs": guard_configs,
     "guard_request_batch": guard_request_batch,
+    "responses_readback": responses_readback,
+    "findings_readback": findings_readback,
     "funnel": funnel,
     "funnel_documents": funnel_documents,
     "stream_guard": stream_guard,
