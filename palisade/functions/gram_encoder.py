@@ -94,10 +94,13 @@ def _count_all(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.
     return grams, *GramEncoder(grams, none, none).count_group(texts)
 
 
-def gram_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, gram, count) arrays of all grams, per group of texts."""
+def gram_counts(texts: list[str], known=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, gram, count) arrays of all grams, or those that ``known`` lets through, per group of texts."""
     for first, group in _row_groups(texts):
         grams, row, gram, tf = _count_all(group)
+        if known is not None and grams:
+            kept = known(grams)[gram]
+            row, gram, tf = row[kept], gram[kept], tf[kept]
         yield first + row, np.array(grams, dtype=object)[gram], tf
 
 

@@ -17,10 +17,11 @@ def _lowered(text_col: str) -> Column:
     return F.lower(F.make_valid_utf8(F.col(text_col)))
 
 
-def term_frequencies(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+def term_frequencies(df: DataFrame, keys: list[str], text_col: str = "text", known=None) -> DataFrame:
     """(keys, gram, tf), counted inside each row and so without a shuffle.
 
-    The keys must identify a row.
+    The keys must identify a row.  ``known``, a broadcast :class:`GramFilter`, leaves
+    out grams that aren't in its set, so that they aren't shuffled to a join.
     """
     ship_package(df.sparkSession)
     texts = df.filter(F.col(text_col).isNotNull()).select(
@@ -29,7 +30,8 @@ def term_frequencies(df: DataFrame, keys: list[str], text_col: str = "text") ->
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row, gram, tf in gram_counts(batch["__text"].tolist()):
+            keep = known.value.might_contain if known is not None else None
+            for row, gram, tf in gram_counts(batch["__text"].tolist(), keep):
                 counts = batch[keys].iloc[row].reset_index(drop=True)
                 yield counts.assign(gram=gram, tf=tf)
 

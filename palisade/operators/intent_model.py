@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fv
 from palisade.functions.gram_encoder import GramEncoder
+from palisade.functions.gram_filter import GramFilter
 from palisade.operators.intent_features import (
     class_weights,
     gram_idf,
@@ -61,6 +62,11 @@ class IntentModel:
             return None
         return _share(self.grams.sparkSession, self.encoder)
 
+    @cached_property
+    def known(self):
+        """A filter over the grams, of bounded size whatever their number, for the join form."""
+        return _share(self.grams.sparkSession, GramFilter.of(self.grams, self.n_grams))
+
 
 def _encoder(table: pd.DataFrame) -> GramEncoder | None:
     if not GramEncoder.alphabet_fits(table["gram"]):
@@ -70,9 +76,9 @@ def _encoder(table: pd.DataFrame) -> GramEncoder | None:
     )
 
 
-def _share(spark: SparkSession, encoder: GramEncoder):
+def _share(spark: SparkSession, value: GramEncoder | GramFilter):
     ship_package(spark)
-    return spark.sparkContext.broadcast(encoder)
+    return spark.sparkContext.broadcast(value)
 
 
 _to_vector = F.udf(

@@ -44,10 +44,11 @@ def score_by_join(
 ) -> DataFrame:
     """(keys, score) by joining gram counts to the model table, for any model size.
 
-    Texts with no known gram get sigmoid(intercept).
+    Texts with no known gram get sigmoid(intercept).  Most unknown grams are left
+    out by a filter before the shuffle, and the rest by the join.
     """
     known = df.filter(F.col(text_col).isNotNull())
-    terms = join_grams(term_frequencies(known, keys, text_col), model.grams, keys, salts)
+    terms = join_grams(term_frequencies(known, keys, text_col, model.known), model.grams, keys, salts)
     value = (F.log("tf") + 1) * F.col("idf")
     sums = (
         terms.select(*keys, value.alias("x"), (value * F.col("weight")).alias("xw"))

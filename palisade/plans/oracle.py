@@ -522,6 +522,14 @@ FROM labelled JOIN scores USING (doc_id) GROUP BY lang"""
 SELECT threshold, {_confusion_columns("score >= threshold")}
 FROM labelled JOIN scores USING (doc_id) CROSS JOIN steps GROUP BY threshold"""
 
+    sql["settings_sweep"] = f"""WITH {DOCS}, {_scan("docs", "doc_id")}, {_scores("scanned", "doc_id", "cleaned")},
+settings AS (
+  SELECT id AS setting_id, (id // 4) / 100 AS thr, id % 2 = 1 AS bs, (id // 2) % 2 = 1 AS bi FROM range(400) t(id))
+SELECT setting_id, count(*) AS total, count(*) FILTER (bs AND high) AS l1_blocked,
+  count(*) FILTER (NOT (bs AND high) AND bi AND score >= thr) AS l3_blocked,
+  count(*) FILTER (NOT (bs AND high) AND NOT (bi AND score >= thr)) AS allowed
+FROM settings CROSS JOIN (SELECT high, score FROM scanned JOIN scores USING (doc_id)) GROUP BY setting_id"""
+
     with_tools = f"""WITH {PROMPTS}, {PAGE_BLOCKS}, {_tools(DEFAULT)}, p AS (
   SELECT prompt_id, text, tools, 0.5 AS thr, true AS bs, true AS bi, false AS bypass
   FROM prompts LEFT JOIN tools USING (prompt_id)),"""

@@ -430,6 +430,18 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return rates.withColumns({"fpr": F.round("fpr", 6), "fnr": F.round("fnr", 6)})
 
 
+def settings_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Four hundred settings: each threshold from 0.00 to 0.99 with each pair of flags."""
+    scanned = scan(documents(spark, folder))
+    scored = score(scanned, seed_model(spark), "sanitization.cleaned_text").select(F.col("sanitization.blocked").alias("high"), "score")
+    number = F.col("id")
+    settings = spark.range(400).select(
+        number.alias("setting_id"), (F.floor(number / 4) / 100).alias("intent_threshold"),
+        (number % 2 == 1).alias("block_on_sanitizer"), (F.floor(number / 2) % 2 == 1).alias("block_on_intent"),
+    )
+    return evaluate.settings_sweep(scored, settings)
+
+
 # --- guard -------------------------------------------------------------------
 
 
@@ -596,6 +608,7 @@ QUERIES = {
     "trained_confusion": trained_confusion,
     "confusion": confusion,
     "threshold_sweep": threshold_sweep,
+    "settings_sweep": settings_sweep,
     "guard_prompts": guard_prompts,
     "guarded_segments": guarded_segments,
     "guard_configs": guard_configs,
