@@ -35,6 +35,12 @@ def test_every_query_has_sql_but_the_trained_model(spark):
     assert own - set(entry.oracle_sql()) == {"train_intent", "trained_confusion"}
 
 
+def test_blocks_lie_on_all_turns(spark):
+    blocks = workload.page_blocks(spark, FOLDER).unionByName(workload.document_blocks(spark, FOLDER))
+    turns = {r[0] for r in blocks.select(F.col("prompt_id") % 8).distinct().collect()}
+    assert turns == {r[0] for r in workload.prompts(spark, FOLDER).select("turn").distinct().collect()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
