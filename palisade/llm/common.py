@@ -48,6 +48,15 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(keys.select(FILE, ROW), [FILE, ROW], "left_semi").select(*own_columns(docs))
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from ``materialise`` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        session = df.sparkSession
+        folder = session._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def ship(df: DataFrame) -> None:
     """Make this package importable in the Python workers of ``df``'s session."""
     ship_package(df.sparkSession)

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import ship, text_of
+from palisade.llm.common import discard, ship, text_of
 from palisade.session import materialise
 
 FOLDS, HELD = 7, 2
@@ -419,7 +419,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     for number in range(SWEEPS + 1):
         replies = _exchanged(states, buckets)
         swept = states.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(_sweep(totals[-1], number), _STATE)
-        states = materialise(swept, "states")
+        before, states = states, materialise(swept, "states")
+        discard(before)  # all of it is in the new table
         if number < SWEEPS:
             totals.append(_totals(states, totals[-1]))
     answers = requests.groupBy("bucket").cogroup(states.groupBy("bucket"))
