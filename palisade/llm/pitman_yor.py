@@ -4,15 +4,23 @@ Restaurants: one for each context, which is the word before (the end of a text a
 the start of the next), and their shared parent, whose base is uniform over the
 vocabulary and one unknown word.  A word's customers in a context are its
 occurrences there; each of their tables sends a customer to the parent.
-Seatings are sampled by Gibbs sweeps: every context's customers are seated anew
-given the parent and the numbers of tables of the sweep before, then the
-parent's.  Predictive probabilities are averaged over the last sweeps.
+Seatings are sampled by Gibbs sweeps.  A sweep takes the customers of each cell (a
+word in a context) out of their restaurant and draws the number of their tables from
+its distribution given all others: generalised Stirling numbers count the ways to
+seat them, each table pays for itself by the tables that the context has besides and
+by the parent's probability of the word without this cell.  Then the parent's
+customers are seated in the same way.  Discounts are estimated from what has one and
+two customers, the parent's after each sweep; the strength is fixed.  The cells of a
+sweep are drawn side by side, each given the sweep before.  Predictive probabilities are averaged over the last sweeps.
 
 Work is split by word, not by context, so a common context is no hot key: a
 bucket of word hashes holds the counts of its words in all their contexts and
 seats them.  Totals of contexts are summed up in buckets of context hashes, to
 which every bucket of words sends one entry for each of its contexts, and which
 answer in the order of what was sent.  Only a few sums are ever gathered.
+Cells, and which contexts a bucket sends, never change: they are written once, in
+bucketed tables that are read where they lie.  What moves and is written in a sweep
+are numbers of tables.
 
 Texts are read once, into chunks: the distinct (word, context) cells of about a
 million tokens, with their counts, and the tokens as cell numbers.  Cells go to
@@ -20,8 +28,8 @@ the buckets of their words, and the buckets' answers (a probability for each
 cell, in the order in which it was sent) come back to the chunks, where texts
 are summed up.  What moves is distinct cells, compressed, not tokens.
 
-Words are known by their 64-bit hash.  Large counts are seated customer by
-customer up to ``EXACT`` and by Poisson draws of new tables beyond.
+Words are known by their 64-bit hash.  Customers of a cell beyond the first ``EXACT``
+come in by Poisson draws of new tables.
 
 Null text counts as empty: one end token.  A null id is never held out.  Rows
 map to rows, repeated ones included.  Without training rows all words are
@@ -30,9 +38,11 @@ unknown.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,13 +50,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import discard, ship, text_of
-from palisade.session import materialise
+from palisade.session import materialise, scratch_path
 
 FOLDS, HELD = 7, 2
 SWEEPS, AVERAGED = 4, 2
 STRENGTH = 1.0
 EXACT = 512
 CHUNK_TOKENS = 1_000_000
+#: Weights of numbers of tables that are looked at together.
+_SLAB = 1 << 20
 #: Room for the contexts of a table that numbers a known few; corpora have them by hash.
 CONTEXTS = 256
 #: No word: words hold no white space.
@@ -156,10 +168,9 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.repeat(np.arange(len(hashes)), per_word), context, counts
 
 
-_STATE = (
-    "bucket int, n_words long, n_cells long, n_contexts long, cells binary, seats binary, samples array<binary>, "
-    "sums array<binary>, customers long, tables long, parent_tables long, ones array<long>"
-)
+_SUMS = "words long, customers long, tables long, parent_tables long, ones array<long>"
+_CELLS = f"bucket int, n_words long, n_cells long, n_contexts long, cells binary, {_SUMS}"
+_SEATS = f"bucket int, seats binary, samples array<binary>, sums array<binary>, {_SUMS}"
 
 
 def _counted(group: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +186,7 @@ def _counted(group: pd.DataFrame) -> pd.DataFrame:
     known, word = np.unique(cells // len(contexts), return_inverse=True)
     ones = np.ones(len(cells), np.int64), np.ones(len(known), np.int64)
     state = _State(names[known].astype("<u8"), word, cells % len(contexts), counts, *ones, contexts.astype("<u8"))
-    return state.row(int(group["bucket"].iat[0]), [], [])
+    return state.cells(int(group["bucket"].iat[0]))
 
 
 @dataclass
@@ -188,25 +199,21 @@ class _State:
     parents: np.ndarray  # tables of each word in the parent
     contexts: np.ndarray | None = None  # hashes, those of unknown cells too
 
-    def row(self, bucket: int, samples: list[bytes], sums: list[bytes]) -> pd.DataFrame:
+    def _summed_up(self, bucket: int, **columns) -> pd.DataFrame:
         per_word = np.bincount(self.word, self.tables, len(self.hashes))
-        ones = [int((self.counts == 1).sum()), int((self.counts == 2).sum()), int((per_word == 1).sum()), int((per_word == 2).sum())]
-        return pd.DataFrame(
-            {
-                "bucket": [bucket],
-                "n_words": [len(self.hashes)],
-                "n_cells": [len(self.counts)],
-                "n_contexts": [len(self.contexts)],
-                "cells": [_squeeze(self.hashes, np.bincount(self.word, minlength=len(self.hashes)).astype("<u4"), self.context.astype("<u4"), self.counts.astype("<u8"), self.contexts)],
-                "seats": [self.seats()],
-                "samples": [samples],
-                "sums": [sums],
-                "customers": [int(self.counts.sum())],
-                "tables": [int(self.tables.sum())],
-                "parent_tables": [int(self.parents.sum())],
-                "ones": [ones],
-            }
-        )
+        ones = [int((x == k).sum()) for x in (self.counts, per_word) for k in (1, 2)]
+        sums = {"words": len(self.hashes), "customers": int(self.counts.sum()), "tables": int(self.tables.sum()), "parent_tables": int(self.parents.sum())}
+        return pd.DataFrame({k: [v] for k, v in ({"bucket": bucket} | columns | sums | {"ones": ones}).items()})
+
+    def cells(self, bucket: int) -> pd.DataFrame:
+        """The row of ``_CELLS``."""
+        per_word = np.bincount(self.word, minlength=len(self.hashes)).astype("<u4")
+        packed = _squeeze(self.hashes, per_word, self.context.astype("<u4"), self.counts.astype("<u8"), self.contexts)
+        return self._summed_up(bucket, n_words=len(self.hashes), n_cells=len(self.counts), n_contexts=len(self.contexts), cells=packed)
+
+    def row(self, bucket: int, samples: list[bytes], sums: list[bytes]) -> pd.DataFrame:
+        """The row of ``_SEATS``."""
+        return self._summed_up(bucket, seats=self.seats(), samples=samples, sums=sums)
 
     def seats(self) -> bytes:
         return _squeeze(self.tables.astype("<u4"), self.parents.astype("<u4"))
@@ -220,8 +227,9 @@ class _State:
         kinds = ("<u8", row.n_words), ("<u4", row.n_words), ("<u4", row.n_cells), ("<u8", row.n_cells), ("<u8", row.n_contexts)
         hashes, per_word, context, counts, contexts = _loosen(row.cells, *kinds)
         word = np.repeat(np.arange(len(hashes)), per_word)
-        none = np.empty(0, np.int64)
-        return _State(hashes, word, context.astype(np.int64), counts.astype(np.int64), none, none, contexts).seated(row.seats)
+        ones = np.ones(len(word), np.int64), np.ones(len(hashes), np.int64)
+        state = _State(hashes, word, context.astype(np.int64), counts.astype(np.int64), *ones, contexts)
+        return state if row.seats is None else state.seated(row.seats)
 
 
 @dataclass
@@ -246,62 +254,126 @@ class Totals:
         base = (STRENGTH + d * self.parent_tables) / (self.vocabulary + 1)
         return (tables - d * parents + base) / (STRENGTH + n)
 
+    def parent_without(self, tables: np.ndarray, parents: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The parent's probability of each cell's word without the cell's own tables."""
+        d, n = self.parent_discount, int(self.tables.sum()) if self.all_tables is None else self.all_tables
+        base = (STRENGTH + d * self.parent_tables) / (self.vocabulary + 1)
+        return (np.maximum(tables - own - d * parents, 0) + base) / (STRENGTH + n - own)
+
     def cell(self, context: np.ndarray, counts: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """The probability of words in contexts."""
         new = (STRENGTH + self.discount * self.tables[context]) * parent
         return (counts - self.discount * tables + new) / (STRENGTH + self.customers[context])
 
 
-def seat(counts: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after customers have come in one by one; ``new``: the weight of an empty table."""
+@lru_cache(maxsize=4)
+def stirling(most: int, discount: float) -> list[np.ndarray]:
+    """Logarithms of the ways to seat c customers at 1 to c tables, for c up to ``most``."""
+    rows = [np.empty(0), np.zeros(1)]
+    for c in range(1, most):
+        there = np.arange(1, c + 1) * discount
+        stay = np.append(np.log(np.maximum(c - there, 1e-300)) + rows[c], -np.inf)
+        rows.append(np.logaddexp(np.append(-np.inf, rows[c]), stay))
+    return rows
+
+
+def seat(counts: np.ndarray, others: np.ndarray, dish: np.ndarray, discount: float, rng: np.random.Generator, strength: float = STRENGTH) -> np.ndarray:
+    """Tables of each cell's customers, drawn given all that isn't theirs.
+
+    ``others``: tables of the restaurant besides those of the cell; ``dish``: the
+    parent's probability of the word.
+    """
     tables = np.minimum(counts, 1)
-    order = np.argsort(-counts, kind="stable")
-    falling = -counts[order]
-    for k in range(1, min(int(counts.max(initial=0)), EXACT)):
-        here = order[: np.searchsorted(falling, -k)]  # those with more than k customers
-        tables[here] += rng.random(len(here)) * (new[here] + k - discount * tables[here]) < new[here]
+    first = np.minimum(counts, EXACT)  # of these the number is drawn at once
+    order = np.argsort(first, kind="stable")
+    sizes, at = np.unique(first[order], return_index=True)
+    ways = stirling(int(sizes[-1]), discount) if len(sizes) else []
+    for c, same in zip(sizes.tolist(), np.split(order, at[1:])):
+        if c < 2:
+            continue
+        slab = max(1, _SLAB // c)
+        for own in (same[k : k + slab] for k in range(0, len(same), slab)):
+            paid = np.log(strength + discount * (others[own, None] + np.arange(c))) + np.log(dish[own, None])
+            weights = ways[c] + np.cumsum(paid, axis=1)
+            upto = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
+            tables[own] = 1 + (upto < rng.random((len(own), 1)) * upto[:, -1:]).sum(axis=1).clip(max=c - 1)
     rest = np.flatnonzero(counts > EXACT)
     done = np.full(len(rest), float(EXACT))
     while len(rest):
         upto = np.minimum(done * 1.25, counts[rest])
-        mean = new[rest] / (new[rest] + done - discount * tables[rest]) * (upto - done)
+        new = (strength + discount * (others[rest] + tables[rest])) * dish[rest]
+        mean = new / (new + done - discount * tables[rest]) * (upto - done)
         tables[rest] = np.minimum(tables[rest] + rng.poisson(mean), counts[rest])
         going = upto < counts[rest]
         rest, done = rest[going], upto[going]
     return tables
 
 
-def _sent(buckets: int):
-    """Customers and tables of each context in a bucket of words, cut by bucket of the context's hash."""
+def _cut(contexts: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of contexts' hashes, in which they are sorted."""
+    bucket = (contexts >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+    return ((b, slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts)).tolist())
+
+
+_LINKS = "group int, bucket int, n long, linked binary"
+
+
+def _linked(buckets: int):
+    """The contexts of a bucket of words with their customers there, cut by bucket of the context's hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 state = _State.read(row)
-                sums = [np.bincount(state.context, x, len(state.contexts)).astype("<u8") for x in (state.counts, state.tables)]
-                bucket = (state.contexts >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-                out = []
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    part = slice(cuts[b], cuts[b + 1])
-                    out.append((b, row.bucket, part.stop - part.start, _squeeze(state.contexts[part], *[x[part] for x in sums])))
-                yield pd.DataFrame(out, columns=["group", "bucket", "n", "sums"])
+                customers = np.bincount(state.context, state.counts, len(state.contexts)).astype("<u8")
+                out = [(b, row.bucket, x.stop - x.start, _squeeze(state.contexts[x], customers[x])) for b, x in _cut(state.contexts, buckets)]
+                yield pd.DataFrame(out, columns=["group", "bucket", "n", "linked"])
 
     return run
 
 
-def _summed(messages: pd.DataFrame) -> pd.DataFrame:
-    """For each bucket of words, the totals of the contexts that it sent, in the order sent."""
-    sent = [_loosen(r.sums, ("<u8", r.n), ("<u8", r.n), ("<u8", r.n)) for r in messages.itertuples(index=False)]
+def _placed(links: pd.DataFrame) -> pd.DataFrame:
+    """Links with the place of each context among those of the group, and all its customers."""
+    sent = [_loosen(r.linked, ("<u8", r.n), ("<u8", r.n)) for r in links.itertuples(index=False)]
     names, place = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
-    sums = [np.bincount(place, np.concatenate([x[k] for x in sent]), len(names)).astype("<u8") for k in (1, 2)]
+    customers = np.bincount(place, np.concatenate([x[1] for x in sent]), len(names)).astype("<u8")
     cuts = np.cumsum([len(x[0]) for x in sent])[:-1]
-    return messages.assign(sums=[_squeeze(*[x[p] for x in sums]) for p in np.split(place, cuts)])
+    return links.assign(linked=[_squeeze(p.astype("<u4"), customers[p]) for p in np.split(place, cuts)])
 
 
-def _exchanged(states: DataFrame, buckets: int) -> DataFrame:
-    form = "group int, bucket int, n long, sums binary"
-    return states.mapInPandas(_sent(buckets), form).groupBy("group").applyInPandas(_summed, form)
+_TABLES = "group int, bucket int, tables binary"
+
+
+def _sent(buckets: int):
+    """Tables of each context in a bucket of words, cut by bucket of the context's hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                state = _State.read(row)
+                tables = np.bincount(state.context, state.tables, len(state.contexts)).astype("<u8")
+                out = [(b, row.bucket, _squeeze(tables[x])) for b, x in _cut(state.contexts, buckets)]
+                yield pd.DataFrame(out, columns=["group", "bucket", "tables"])
+
+    return run
+
+
+_REPLIES = "group int, bucket int, n long, sums binary"
+
+
+def _summed(links: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
+    """For each bucket of words, the totals of the contexts that it sent, in the order sent."""
+    rows = links.merge(messages[["bucket", "tables"]], on="bucket")
+    place = [_loosen(r.linked, ("<u4", r.n), ("<u8", r.n)) for r in rows.itertuples(index=False)]
+    sent = np.concatenate([_loosen(r.tables, ("<u8", r.n))[0] for r in rows.itertuples(index=False)])
+    tables = np.bincount(np.concatenate([p for p, _ in place]), sent).astype("<u8")
+    return rows[["group", "bucket", "n"]].assign(sums=[_squeeze(customers, tables[p]) for p, customers in place])
+
+
+def _exchanged(states: DataFrame, links: DataFrame, buckets: int) -> DataFrame:
+    messages = states.mapInPandas(_sent(buckets), _TABLES)
+    return links.groupBy("group").cogroup(messages.groupBy("group")).applyInPandas(_summed, _REPLIES)
 
 
 def _joined(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -321,27 +393,26 @@ def _sweep(shared: Totals, number: int):
         if number == SWEEPS:  # all samples are drawn
             return state.row(row.bucket, list(row.samples), kept)
         per_word = np.bincount(state.word, state.tables, len(state.hashes))
-        parent = totals.parent(per_word, state.parents)[state.word]
-        new = (STRENGTH + totals.discount * totals.tables[state.context]) * parent
-        state.tables = seat(state.counts, new, totals.discount, rng)
+        dish = totals.parent_without(per_word[state.word], state.parents[state.word], state.tables)
+        others = totals.tables[state.context] - state.tables
+        state.tables = seat(state.counts, others, dish, totals.discount, rng)
         per_word = np.bincount(state.word, state.tables, len(state.hashes)).astype(np.int64)
-        base = (STRENGTH + totals.parent_discount * totals.parent_tables) / (totals.vocabulary + 1)
-        state.parents = seat(per_word, np.full(len(per_word), base), totals.parent_discount, rng)
+        base = np.full(len(per_word), 1 / (totals.vocabulary + 1))
+        state.parents = seat(per_word, totals.parent_tables - state.parents, base, totals.parent_discount, rng)
         samples = [*row.samples, state.seats()] if number >= SWEEPS - AVERAGED else []
         return state.row(row.bucket, samples, kept)
 
     return run
 
 
-def _totals(states: DataFrame, last: Totals | None = None) -> Totals:
-    sums = [F.sum(c) for c in ("customers", "tables", "parent_tables", "n_words")]
+def _totals(states: DataFrame) -> Totals:
+    sums = [F.sum(c) for c in ("customers", "tables", "parent_tables", "words")]
     rest = states.agg(*sums, *[F.sum(F.get("ones", F.lit(i))) for i in range(4)]).first()
     customers, tables, parents, words, n1, n2, m1, m2 = [x or 0 for x in rest]
-    # The usual estimate from what occurs once and twice, kept from the first counts on.
+    # The usual estimate from what occurs once and twice.
     estimate = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
-    discounts = (last.discount, last.parent_discount) if last else (estimate(n1, n2), estimate(m1, m2))
     none = np.empty(0, np.int64)
-    return Totals(none, none, parents, words, *discounts, customers, tables)
+    return Totals(none, none, parents, words, estimate(n1, n2), estimate(m1, m2), customers, tables)
 
 
 def _answers(totals: list[Totals]):
@@ -406,6 +477,16 @@ def _scored(train_tokens: int, vocabulary: int):
     return run
 
 
+def _bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df``, whose tasks hold whole keys, written to the shared folder so that groups of ``key`` need no shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", scratch_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name; the files stay
+    return out
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Train on what is not held out, and score every document."""
     ship(docs)
@@ -414,15 +495,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
     chunks = materialise(rows.mapInPandas(_chunks, schema), "chunks")
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     requests = chunks.select("chunk", "n_words", "n_cells", "cells").mapInPandas(_requests(buckets), _REQUEST)
-    states = materialise(requests.groupBy("bucket").applyInPandas(_counted, _STATE), "states")
-    totals = [_totals(states)]
+    requests = _bucketed(requests.repartition(buckets, "bucket"), "requests", "bucket", buckets)
+    counted = _bucketed(requests.groupBy("bucket").applyInPandas(_counted, _CELLS), "cells", "bucket", buckets)
+    cells = counted.select("bucket", "n_words", "n_cells", "n_contexts", "cells")
+    none = F.array().cast("array<binary>")
+    states = cells.select("*", F.lit(None).cast("binary").alias("seats"), none.alias("samples"), none.alias("sums"))
+    links = states.mapInPandas(_linked(buckets), _LINKS).groupBy("group").applyInPandas(_placed, _LINKS)
+    links = _bucketed(links, "links", "group", buckets)
+    totals, seats = [_totals(counted)], None
     for number in range(SWEEPS + 1):
-        replies = _exchanged(states, buckets)
-        swept = states.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(_sweep(totals[-1], number), _STATE)
-        before, states = states, materialise(swept, "states")
-        discard(before)  # all of it is in the new table
+        replies = _exchanged(states, links, buckets)
+        swept = states.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(_sweep(totals[-1], number), _SEATS)
+        before, seats = seats, _bucketed(swept, "seats", "bucket", buckets)
+        states = cells.hint("merge").join(seats.select("bucket", "seats", "samples", "sums"), "bucket")
+        if before is not None:
+            discard(before)  # all of it is in the new table
         if number < SWEEPS:
-            totals.append(_totals(states, totals[-1]))
+            totals.append(_totals(seats))
     answers = requests.groupBy("bucket").cogroup(states.groupBy("bucket"))
     answers = answers.applyInPandas(_answers(totals[-AVERAGED:]), "chunk long, bucket int, n_words long, n_cells long, answer binary")
     texts = chunks.select("chunk", "doc_id", "held_out", "n_tokens", "tokens")

@@ -65,20 +65,70 @@ def test_probabilities_sum_to_one():
         sums = np.bincount(state.context, known, P.CONTEXTS)[:5]
         unknown = totals.cell(np.arange(5), np.zeros(5), np.zeros(5), np.full(5, parent[-1]))
         assert np.abs(sums + unknown - 1).max() < 1e-9
-        new = (P.STRENGTH + totals.discount * totals.tables[state.context]) * parent[state.word]
-        state.tables = P.seat(counts, new, totals.discount, rng)
+        dish = totals.parent_without(per_word[state.word], state.parents[state.word], state.tables)
+        state.tables = P.seat(counts, totals.tables[state.context] - state.tables, dish, totals.discount, rng)
         assert (state.tables >= 1).all() and (state.tables <= counts).all()
-        state.parents = P.seat(np.bincount(state.word, state.tables).astype(np.int64), np.full(60, 0.1), 0.5, rng)
+        others = state.parents.sum() - state.parents
+        state.parents = P.seat(np.bincount(state.word, state.tables).astype(np.int64), others, np.full(60, 1 / 61), 0.5, rng)
 
 
 @pytest.mark.parametrize("count", [5, 400, 3_000])
 def test_mean_number_of_tables(count):
     # A Pitman-Yor restaurant whose base always gives a new dish: E[t] by the recursion of its means.
-    strength, d = 2.0, 0.5
+    strength = 2.0
     rng = np.random.default_rng(0)
-    draws = P.seat(np.full(4_000, count), np.full(4_000, strength), 0.0, rng)
+    draws = P.seat(np.full(4_000, count), np.zeros(4_000), np.ones(4_000), 0.0, rng, strength)
     expected = sum(strength / (strength + k) for k in range(count))
-    assert abs(draws.mean() / expected - 1) < 0.03 and d < 1
+    assert abs(draws.mean() / expected - 1) < 0.03
+
+
+def seatings(n):
+    """Sizes of the tables of every way to seat n customers."""
+    if n == 0:
+        yield []
+        return
+    for sizes in seatings(n - 1):
+        yield [*sizes, 1]
+        for k in range(len(sizes)):
+            yield [*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]]
+
+
+def weight(sizes, d):
+    """Of the customers that join a table which is there."""
+    return math.prod(math.prod(k - d for k in range(1, n)) for n in sizes)
+
+
+def test_gibbs_draws_follow_the_exact_distribution():
+    # A restaurant with three words: the joint distribution of their tables by listing all seatings.
+    counts, dish, d, strength = [3, 4, 2], [0.3, 0.05, 0.2], 0.4, P.STRENGTH
+    ways = [Counter() for _ in counts]
+    for w, c in zip(ways, counts):
+        for sizes in seatings(c):
+            w[len(sizes)] += weight(sizes, d)
+    exact = {}
+    for a in ways[0]:
+        for b in ways[1]:
+            for c in ways[2]:
+                paid = math.prod(strength + d * i for i in range(a + b + c))
+                exact[a, b, c] = ways[0][a] * ways[1][b] * ways[2][c] * paid * math.prod(p**t for p, t in zip(dish, (a, b, c)))
+    whole = sum(exact.values())
+    # Many chains side by side, one word after the other.
+    rng, chains = np.random.default_rng(2), 40_000
+    tables = np.ones((3, chains), np.int64)
+    for _ in range(12):
+        for k in range(3):
+            tables[k] = P.seat(np.full(chains, counts[k]), tables.sum(axis=0) - tables[k], np.full(chains, dish[k]), d, rng)
+    found = Counter(map(tuple, tables.T.tolist()))
+    assert all(abs(found[t] / chains - p / whole) < 0.012 for t, p in exact.items())
+
+
+def test_ways_to_seat():
+    rows = P.stirling(6, 0.4)
+    for c in range(1, 7):
+        by_tables = Counter()
+        for sizes in seatings(c):
+            by_tables[len(sizes)] += weight(sizes, 0.4)
+        assert np.allclose(np.exp(rows[c]), [by_tables[t] for t in range(1, c + 1)])
 
 
 def test_squeeze_round_trip():
