@@ -24,9 +24,9 @@ are numbers of tables.
 
 Texts are read once, into chunks: the distinct (word, context) cells of about a
 million tokens, with their counts, and the tokens as cell numbers.  Cells go to
-the buckets of their words, and the buckets' answers (a probability for each
-cell, in the order in which it was sent) come back to the chunks, where texts
-are summed up.  What moves is distinct cells, compressed, not tokens.
+the buckets of their words, which note where each chunk's cells are among their
+own, and the buckets' answers (a probability for each cell, in the order in which
+it was sent) come back to the chunks, where texts are summed up.  What moves is distinct cells, compressed, not tokens.
 
 Words are known by their 64-bit hash.  Customers of a cell beyond the first ``EXACT``
 come in by Poisson draws of new tables.
@@ -57,6 +57,8 @@ SWEEPS, AVERAGED = 4, 2
 STRENGTH = 1.0
 EXACT = 512
 CHUNK_TOKENS = 1_000_000
+#: Cells of chunks that a bucket of words takes on average.
+BUCKET_CELLS = 1_000_000
 #: Weights of numbers of tables that are looked at together.
 _SLAB = 1 << 20
 #: Room for the contexts of a table that numbers a known few; corpora have them by hash.
@@ -169,24 +171,38 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 _SUMS = "words long, customers long, tables long, parent_tables long, ones array<long>"
-_CELLS = f"bucket int, n_words long, n_cells long, n_contexts long, cells binary, {_SUMS}"
+_COUNTED = (
+    f"bucket int, n_words long, n_cells long, n_contexts long, cells binary, {_SUMS}, "
+    "chunk long, asked_words long, asked_cells long, asked binary"
+)
 _SEATS = f"bucket int, seats binary, samples array<binary>, sums array<binary>, {_SUMS}"
 
 
 def _counted(group: pd.DataFrame) -> pd.DataFrame:
-    """All training cells of a bucket, and all contexts in it; every word has one table where it occurs."""
+    """A row of all cells of a bucket and the contexts in it, and a row of the places of its cells for each request.
+
+    Cells that only held-out texts have count zero; every other word has one table where it occurs.
+    """
     rows = [_opened(r) for r in group.itertuples(index=False)]
     names, place = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
     contexts, before = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-    starts = np.cumsum([0, *[len(r[0]) for r in rows]])
-    words = np.concatenate([place[s : s + len(r[0])][r[1]] for s, r in zip(starts, rows)])
+    word_at, cell_at = (np.cumsum([0, *[len(r[k]) for r in rows]]) for k in (0, 1))
+    words = np.concatenate([place[s : s + len(r[0])][r[1]] for s, r in zip(word_at, rows)])
     cells, at = np.unique(words * len(contexts) + before, return_inverse=True)
     counts = np.bincount(at, np.concatenate([r[3] for r in rows]), len(cells)).astype(np.int64)
-    cells, counts = cells[counts > 0], counts[counts > 0]
-    known, word = np.unique(cells // len(contexts), return_inverse=True)
-    ones = np.ones(len(cells), np.int64), np.ones(len(known), np.int64)
-    state = _State(names[known].astype("<u8"), word, cells % len(contexts), counts, *ones, contexts.astype("<u8"))
-    return state.cells(int(group["bucket"].iat[0]))
+    state = _State.first(names.astype("<u8"), cells // len(contexts), cells % len(contexts), counts, contexts.astype("<u8"))
+    asked = []
+    for k, r in enumerate(rows):  # words and cells of a request ascend
+        w, c = place[word_at[k] : word_at[k + 1]], at[cell_at[k] : cell_at[k + 1]]
+        steps = [np.diff(x, prepend=0).astype("<u4") for x in (w, c)]
+        asked.append(_squeeze(*steps, np.bincount(r[1], minlength=len(w)).astype("<u4")))
+    requests = group[["bucket", "chunk"]].assign(asked_words=np.diff(word_at), asked_cells=np.diff(cell_at), asked=asked)
+    both = [state.cells(int(group["bucket"].iat[0])).assign(asked=None), requests.assign(cells=None, ones=None)]
+    return pd.concat(both).reindex(columns=_COUNTED.replace(",", "").split()[::2]).astype(_WHOLE)
+
+
+#: Columns that rows of one kind leave out hold whole numbers nevertheless.
+_WHOLE = {c: "Int64" for c, kind in (x.split() for x in _COUNTED.split(", ")) if kind in ("int", "long")}
 
 
 @dataclass
@@ -197,16 +213,23 @@ class _State:
     counts: np.ndarray
     tables: np.ndarray  # of each cell
     parents: np.ndarray  # tables of each word in the parent
-    contexts: np.ndarray | None = None  # hashes, those of unknown cells too
+    contexts: np.ndarray | None = None  # hashes
+
+    @staticmethod
+    def first(hashes, word, context, counts, contexts) -> "_State":
+        """One table for each word where it occurs in training."""
+        known = np.bincount(word, counts, len(hashes)) > 0
+        return _State(hashes, word, context, counts, np.minimum(counts, 1), known.astype(np.int64), contexts)
 
     def _summed_up(self, bucket: int, **columns) -> pd.DataFrame:
         per_word = np.bincount(self.word, self.tables, len(self.hashes))
         ones = [int((x == k).sum()) for x in (self.counts, per_word) for k in (1, 2)]
-        sums = {"words": len(self.hashes), "customers": int(self.counts.sum()), "tables": int(self.tables.sum()), "parent_tables": int(self.parents.sum())}
+        known = int((np.bincount(self.word, self.counts, len(self.hashes)) > 0).sum())
+        sums = {"words": known, "customers": int(self.counts.sum()), "tables": int(self.tables.sum()), "parent_tables": int(self.parents.sum())}
         return pd.DataFrame({k: [v] for k, v in ({"bucket": bucket} | columns | sums | {"ones": ones}).items()})
 
     def cells(self, bucket: int) -> pd.DataFrame:
-        """The row of ``_CELLS``."""
+        """The row of cells of ``_COUNTED``."""
         per_word = np.bincount(self.word, minlength=len(self.hashes)).astype("<u4")
         packed = _squeeze(self.hashes, per_word, self.context.astype("<u4"), self.counts.astype("<u8"), self.contexts)
         return self._summed_up(bucket, n_words=len(self.hashes), n_cells=len(self.counts), n_contexts=len(self.contexts), cells=packed)
@@ -227,8 +250,7 @@ class _State:
         kinds = ("<u8", row.n_words), ("<u4", row.n_words), ("<u4", row.n_cells), ("<u8", row.n_cells), ("<u8", row.n_contexts)
         hashes, per_word, context, counts, contexts = _loosen(row.cells, *kinds)
         word = np.repeat(np.arange(len(hashes)), per_word)
-        ones = np.ones(len(word), np.int64), np.ones(len(hashes), np.int64)
-        state = _State(hashes, word, context.astype(np.int64), counts.astype(np.int64), *ones, contexts)
+        state = _State.first(hashes, word, context.astype(np.int64), counts.astype(np.int64), contexts)
         return state if row.seats is None else state.seated(row.seats)
 
 
@@ -419,29 +441,21 @@ def _answers(totals: list[Totals]):
     """For each request of a bucket, its cells' log10 probabilities and its words' training counts."""
 
     def run(requests: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        row = next(states.itertuples(index=False))
+        state, size = _State.read(row), int(row.n_contexts)
+        p = np.zeros(len(state.counts))
+        for t, seats, sums in zip(totals, row.samples, row.sums):
+            t = t.having(*[x.astype(np.int64) for x in _loosen(sums, ("<i8", size), ("<i8", size))])
+            sample = state.seated(seats)
+            parent = t.parent(np.bincount(sample.word, sample.tables, len(sample.hashes)), sample.parents)
+            p += t.cell(sample.context, sample.counts, sample.tables, parent[sample.word])
+        logs = np.log10(p / len(totals)).astype("<f4")
+        in_all = np.bincount(state.word, state.counts, len(state.hashes)).astype("<u8")
         out = []
-        row = states.iloc[0]
-        state, size = _State.read(row), int(row["n_contexts"])
-        codes = state.word * size + state.context
-        samples = [state.seated(s) for s in row["samples"]]
-        own_totals = [t.having(*[x.astype(np.int64) for x in _loosen(s, ("<i8", size), ("<i8", size))]) for t, s in zip(totals, row["sums"])]
-        in_all = np.bincount(state.word, state.counts, len(state.hashes)).astype(np.int64)
-        parents = [t.parent(np.append(np.bincount(s.word, s.tables, len(s.hashes)), 0), np.append(s.parents, 0)) for t, s in zip(own_totals, samples)]
         for r in requests.itertuples(index=False):
-            hashes, word, context, _ = _opened(r)
-            place = np.searchsorted(state.hashes, hashes)
-            known = np.append(state.hashes, np.uint64(0))[place] == hashes if len(state.hashes) else np.zeros(len(hashes), bool)
-            place = np.where(known & (place < len(state.hashes)), place, len(state.hashes))  # the last: unknown
-            own = place[word]
-            context = np.searchsorted(state.contexts, context)
-            at = np.searchsorted(codes, own * size + context)
-            there = np.append(codes, -1)[at] == own * size + context
-            p = np.zeros(len(word))
-            for t, s, parent in zip(own_totals, samples, parents):
-                c, seats = np.append(s.counts, 0)[at] * there, np.append(s.tables, 0)[at] * there
-                p += t.cell(context, c, seats, parent[own])
-            logs = np.log10(p / len(totals))
-            out.append((r.chunk, r.bucket, len(hashes), len(logs), _squeeze(logs.astype("<f4"), np.append(in_all, 0)[place].astype("<u8"), np.bincount(word, minlength=len(hashes)).astype("<u4"))))
+            w, c, per_word = _loosen(r.asked, ("<u4", r.asked_words), ("<u4", r.asked_cells), ("<u4", r.asked_words))
+            answer = _squeeze(logs[np.cumsum(c, dtype=np.int64)], in_all[np.cumsum(w, dtype=np.int64)], per_word)
+            out.append((r.chunk, r.bucket, r.asked_words, r.asked_cells, answer))
         return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "n_cells", "answer"])
 
     return run
@@ -493,10 +507,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
     schema = "chunk long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, tokens binary, n_words long, n_cells long, cells binary"
     chunks = materialise(rows.mapInPandas(_chunks, schema), "chunks")
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = chunks.agg(F.sum("n_cells")).first()[0] or 0
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells // BUCKET_CELLS))
     requests = chunks.select("chunk", "n_words", "n_cells", "cells").mapInPandas(_requests(buckets), _REQUEST)
-    requests = _bucketed(requests.repartition(buckets, "bucket"), "requests", "bucket", buckets)
-    counted = _bucketed(requests.groupBy("bucket").applyInPandas(_counted, _CELLS), "cells", "bucket", buckets)
+    counted = requests.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_counted, _COUNTED)
+    counted = _bucketed(counted, "cells", "bucket", buckets)
+    requests = counted.filter("chunk is not null").select(
+        F.col("bucket").alias("bucket"), "chunk", "asked_words", "asked_cells", "asked"
+    )
+    counted = counted.filter("chunk is null")
     cells = counted.select("bucket", "n_words", "n_cells", "n_contexts", "cells")
     none = F.array().cast("array<binary>")
     states = cells.select("*", F.lit(None).cast("binary").alias("seats"), none.alias("samples"), none.alias("sums"))
