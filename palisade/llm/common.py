@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.session import materialise, ship_package
@@ -52,9 +52,13 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table from ``materialise`` that nothing reads any more."""
     files = df.inputFiles()
     if files:
-        session = df.sparkSession
-        folder = session._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        discard_folder(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def discard_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of scratch data, where there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ship(df: DataFrame) -> None:

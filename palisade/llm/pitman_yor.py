@@ -39,18 +39,19 @@ unknown.
 from __future__ import annotations
 
 import uuid
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import discard, ship, text_of
-from palisade.session import materialise, scratch_path
+from palisade.llm.common import discard, discard_folder, ship, text_of
+from palisade.session import scratch_path
 
 FOLDS, HELD = 7, 2
 SWEEPS, AVERAGED = 4, 2
@@ -63,6 +64,8 @@ BUCKET_CELLS = 1_000_000
 _SLAB = 1 << 20
 #: Room for the contexts of a table that numbers a known few; corpora have them by hash.
 CONTEXTS = 256
+#: Parts of the table of chunks: texts as cell numbers, and cells.
+_TEXTS, _WORDS = 0, 1
 #: No word: words hold no white space.
 _END = b"\n"
 
@@ -74,11 +77,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays, each stored by byte planes, which compress well."""
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays]
-    return zlib.compress(b"".join(planes), 1)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _loosen(data: bytes, *kinds_and_sizes: tuple[str, int]) -> list[np.ndarray]:
-    raw, at, out = zlib.decompress(data), 0, []
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     for kind, n in kinds_and_sizes:
         width = np.dtype(kind).itemsize
         planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
@@ -87,12 +90,25 @@ def _loosen(data: bytes, *kinds_and_sizes: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
+def _numbered() -> dict[bytes, int]:
+    """Numbers words as they are first met."""
+    words: dict[bytes, int] = defaultdict()
+    words.default_factory = words.__len__
+    return words
+
+
+_CHUNKS = (
+    "part int, chunk long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, tokens binary, "
+    "n_words long, n_cells long, cells binary"
+)
+
+
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
-    words: dict[bytes, int] = {}
+    words = _numbered()
     docs: list[tuple] = []
     tokens: list[np.ndarray] = []
     total = 0
@@ -110,16 +126,18 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         train = np.repeat(np.array([not d[1] for d in docs]), lengths)
         counts = np.bincount(at[train], minlength=len(cells)).astype("<u4")
         per_word = np.bincount(cells // len(names), minlength=len(names)).astype("<u4")
+        packed = _squeeze(hashes[order].astype("<u8"), per_word, (cells % len(names)).astype("<u4"), counts)
         return pd.DataFrame(
             {
-                "chunk": [number],
-                "doc_id": [[d[0] for d in docs]],
-                "held_out": [[d[1] for d in docs]],
-                "n_tokens": [lengths],
-                "tokens": [_squeeze(at.astype("<u4"))],
-                "n_words": [len(names)],
-                "n_cells": [len(cells)],
-                "cells": [_squeeze(hashes[order].astype("<u8"), per_word, (cells % len(names)).astype("<u4"), counts)],
+                "part": [_TEXTS, _WORDS],
+                "chunk": [number, number],
+                "doc_id": [[d[0] for d in docs], None],
+                "held_out": [[d[1] for d in docs], None],
+                "n_tokens": [lengths, None],
+                "tokens": [_squeeze(at.astype("<u4")), None],
+                "n_words": [len(names)] * 2,
+                "n_cells": [len(cells)] * 2,
+                "cells": [None, packed],
             }
         )
 
@@ -127,13 +145,12 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, held, text in zip(batch["doc_id"].astype("Int64"), batch["held_out"], batch["text"]):
             own = text.encode().lower().split()
             own.append(_END)
-            seat = words.setdefault
-            tokens.append(np.array([seat(w, len(words)) for w in own], np.int64))
+            tokens.append(np.fromiter(map(words.__getitem__, own), np.int64, len(own)))
             docs.append((None if doc_id is pd.NA else int(doc_id), bool(held), len(own)))
             total += len(own)
             if total >= CHUNK_TOKENS:
                 yield closed()
-                words, docs, tokens, total = {}, [], [], 0
+                words, docs, tokens, total = _numbered(), [], [], 0
                 number += 1
     if docs:
         yield closed()
@@ -505,13 +522,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Train on what is not held out, and score every document."""
     ship(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
-    schema = "chunk long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, tokens binary, n_words long, n_cells long, cells binary"
-    chunks = materialise(rows.mapInPandas(_chunks, schema), "chunks")
+    spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "chunks")
+    rows.mapInPandas(_chunks, _CHUNKS).write.partitionBy("part").parquet(folder)
+    made = spark.read.schema(_CHUNKS).parquet(folder)
+    texts, chunks = (made.filter(F.col("part") == part) for part in (_TEXTS, _WORDS))
     cells = chunks.agg(F.sum("n_cells")).first()[0] or 0
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells // BUCKET_CELLS))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // BUCKET_CELLS))
     requests = chunks.select("chunk", "n_words", "n_cells", "cells").mapInPandas(_requests(buckets), _REQUEST)
     counted = requests.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_counted, _COUNTED)
     counted = _bucketed(counted, "cells", "bucket", buckets)
+    discard_folder(spark, f"{folder}/part={_WORDS}")  # all of it is in the buckets
     requests = counted.filter("chunk is not null").select(
         F.col("bucket").alias("bucket"), "chunk", "asked_words", "asked_cells", "asked"
     )
@@ -533,7 +553,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             totals.append(_totals(seats))
     answers = requests.groupBy("bucket").cogroup(states.groupBy("bucket"))
     answers = answers.applyInPandas(_answers(totals[-AVERAGED:]), "chunk long, bucket int, n_words long, n_cells long, answer binary")
-    texts = chunks.select("chunk", "doc_id", "held_out", "n_tokens", "tokens")
+    texts = texts.select("chunk", "doc_id", "held_out", "n_tokens", "tokens")
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         _scored(totals[-1].tokens, totals[-1].vocabulary),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
