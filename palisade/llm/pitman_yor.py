@@ -77,7 +77,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays, each stored by byte planes, which compress well."""
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
 def _loosen(data: bytes, *kinds_and_sizes: tuple[str, int]) -> list[np.ndarray]:
@@ -163,28 +163,28 @@ def _requests(buckets: int):
         for batch in batches:
             for chunk, n_words, n_cells, data in zip(batch["chunk"], batch["n_words"], batch["n_cells"], batch["cells"]):
                 hashes, per_word, context, counts = _loosen(data, ("<u8", n_words), ("<u4", n_words), ("<u4", n_cells), ("<u4", n_cells))
-                context = hashes[context]
                 bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 words = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
                 cells = np.append(0, np.cumsum(per_word, dtype=np.int64))[words]
                 out = []
                 for b in np.flatnonzero(np.diff(words)).tolist():
                     w, c = slice(words[b], words[b + 1]), slice(cells[b], cells[b + 1])
-                    out.append((b, chunk, w.stop - w.start, c.stop - c.start, _squeeze(hashes[w], per_word[w], context[c], counts[c])))
-                yield pd.DataFrame(out, columns=["bucket", "chunk", "n_words", "n_cells", "cells"])
+                    before, at = np.unique(context[c], return_inverse=True)
+                    packed = _squeeze(hashes[w], per_word[w], hashes[before], at.astype("<u4"), counts[c])
+                    out.append((b, chunk, w.stop - w.start, c.stop - c.start, len(before), packed))
+                yield pd.DataFrame(out, columns=["bucket", "chunk", "n_words", "n_cells", "n_contexts", "cells"])
 
     return run
 
 
-_REQUEST = "bucket int, chunk long, n_words long, n_cells long, cells binary"
+_REQUEST = "bucket int, chunk long, n_words long, n_cells long, n_contexts long, cells binary"
 
 
 def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, word of each cell, hash of its context and count of each cell) of a request."""
-    hashes, per_word, context, counts = _loosen(
-        row.cells, ("<u8", row.n_words), ("<u4", row.n_words), ("<u8", row.n_cells), ("<u4", row.n_cells)
-    )
-    return hashes, np.repeat(np.arange(len(hashes)), per_word), context, counts
+    kinds = ("<u8", row.n_words), ("<u4", row.n_words), ("<u8", row.n_contexts), ("<u4", row.n_cells), ("<u4", row.n_cells)
+    hashes, per_word, contexts, context, counts = _loosen(row.cells, *kinds)
+    return hashes, np.repeat(np.arange(len(hashes)), per_word), contexts[context], counts
 
 
 _SUMS = "words long, customers long, tables long, parent_tables long, ones array<long>"
