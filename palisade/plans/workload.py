@@ -550,15 +550,18 @@ def funnel_documents(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.funnel(guarded, ["lang", "source"])
 
 
-def stream_guard(spark: SparkSession, folder: str) -> DataFrame:
-    """The conversations file as a stream through the guard into parquet."""
+def _arriving(spark: SparkSession, folder: str) -> DataFrame:
+    """The turns with the overlay as a stream, whether the table is one file or a folder of files."""
     schema = "conv_id long, turn long, role string, text string"
-    turns = gs.read_prompt_stream(spark, folder, schema, glob="conversations.parquet")
+    # A pattern, since Spark takes a plain path as the folder that partition columns start from.
+    turns = gs.read_prompt_stream(spark, f"{folder.rstrip('/')}/conversations.parque[t]", schema)
     prompt_id = F.col("conv_id") * 8 + F.col("turn")
-    arriving = turns.select(
-        prompt_id.alias("prompt_id"), overlaid(F.col("text"), prompt_id).alias("text")
-    )
-    guarded = gs.guard_stream(arriving, seed_model(spark))
+    return turns.select(prompt_id.alias("prompt_id"), overlaid(F.col("text"), prompt_id).alias("text"))
+
+
+def stream_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations as a stream through the guard into parquet."""
+    guarded = gs.guard_stream(_arriving(spark, folder), seed_model(spark))
     out = scratch_path(spark, "stream")
     query = gs.start(guarded, f"{out}/rows", f"{out}/state", available_now=True)
     query.awaitTermination()
@@ -567,12 +570,8 @@ def stream_guard(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_guard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The same stream through the model in join form, in batches."""
-    schema = "conv_id long, turn long, role string, text string"
-    turns = gs.read_prompt_stream(spark, folder, schema, glob="conversations.parquet")
-    prompt_id = F.col("conv_id") * 8 + F.col("turn")
-    arriving = turns.select(prompt_id.alias("prompt_id"), overlaid(F.col("text"), prompt_id).alias("text"))
     out = scratch_path(spark, "stream")
-    query = gs.start_batches(arriving, replace(seed_model(spark), by_join=True), f"{out}/rows", f"{out}/state", available_now=True)
+    query = gs.start_batches(_arriving(spark, folder), replace(seed_model(spark), by_join=True), f"{out}/rows", f"{out}/state", available_now=True)
     query.awaitTermination()
     return _guard_view(spark.read.parquet(f"{out}/rows"))
 

@@ -3,6 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.plans import workload
 from palisade.plans.guard import guard
 from palisade.streaming import guard_stream as gs
 
@@ -57,3 +58,15 @@ def test_batches_in_join_form_survive_a_restart(spark, seed, arriving, tmp_path,
     gs.start_batches(stream(), model, f"{tmp_path}/out", f"{tmp_path}/state", available_now=True).awaitTermination()
     assert rows_of(spark.read.parquet(f"{tmp_path}/out")) == expected
     assert out.filter(F.col("allowed").isNull()).count() == batch.filter("text is null").count()
+
+
+@pytest.mark.parametrize("query", [workload.stream_guard, workload.stream_guard_join])
+def test_a_table_of_one_file_or_of_several_streams_whole(spark, tmp_path, query):
+    turns = spark.createDataFrame([(c, t, "user", f"{TEXTS[0]} {c} {t}") for c in range(6) for t in range(3)], "conv_id long, turn long, role string, text string")
+    turns.repartition(4).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    turns.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "conversations.parquet")
+    wanted = sorted(c * 8 + t for c in range(6) for t in range(3))
+    for kind in ("folder", "file"):
+        assert sorted(r["prompt_id"] for r in query(spark, f"{tmp_path}/{kind}").collect()) == wanted, kind
