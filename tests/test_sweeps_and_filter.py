@@ -63,3 +63,17 @@ def test_unknown_grams_are_not_shuffled(spark, seed):
     whole = replace(seed)
     whole.__dict__["known"] = None
     assert key(score_by_join(texts, seed, ["id"])) == pytest.approx(key(score_by_join(texts, whole, ["id"])), abs=1e-12)
+
+
+def test_a_settings_sweep_scores_each_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scored(i):
+        seen.add(1)
+        return i / 100
+
+    rows = spark.range(100).select((F.col("id") % 3 == 0).alias("high"), scored.asNondeterministic()("id").alias("score"))
+    found = settings_sweep(rows, spark.createDataFrame([(1, 0.5, True, True)], SETTINGS)).collect()
+    assert [tuple(r) for r in found] == [(1, 100, 34, 33, 33)]
+    assert seen.value == 100
