@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 from dataclasses import replace
 
@@ -236,3 +237,15 @@ def test_one_side_given_the_other_from_the_seeds(spark):
     assert sides_or_seeds(spark, mine.limit(0), None).count() == len(fv.BENIGN_SEEDS) + len(fv.ADVERSARIAL_SEEDS)
     model = im.train(spark=spark, adversarial=mine)
     assert model.n_samples == 2 + len(fv.BENIGN_SEEDS)
+
+
+def test_counting_takes_memory_for_a_group_of_texts_only():
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5_000)]
+    texts = [" ".join(draw.choices(words, k=500)) for _ in range(1_200)]  # 4 million characters
+    tracemalloc.start()
+    found = sum(int(n.sum()) for _, n in ge.gram_document_counts(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sum(len({w[i : i + n] for w in (f" {x} " for x in set(t.split())) for n in (2, 3, 4) for i in range(len(w) - n + 1)}) for t in texts)
+    assert peak < 250e6
