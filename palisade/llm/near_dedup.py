@@ -3,12 +3,14 @@
 Two texts are linked if their sets of shingles have a similarity of at least 0.8,
 and groups are the components of those links.
 
-*Candidates.*  SimHash can't find them: at 0.8 fingerprints differ in some ten of
-64 bits, often in more than sixteen, and segments for such a radius are too narrow
-to be an index.  Texts that share all ``PER_BAND`` minima of one of ``BANDS`` bands
-are candidates instead: a pair at 0.8 is missed with probability 5e-8, one at 0.9
-with 1.5e-15.  One bit of each minimum makes a sketch; pairs whose sketches differ
-in more than ``SKETCH_BITS`` of 128 bits (2e-9 of those at 0.8) aren't compared.
+*Candidates.*  Fingerprints of the shingles go through the Gray-order index of
+``simhash``; the components that it links are the first buckets.  At 0.8 fingerprints
+differ in some ten of 64 bits, often in more than sixteen, and segments for such a
+radius are too narrow to be an index, so these buckets hold the closest texts only.
+Those that share all ``PER_BAND`` minima of one of ``BANDS`` bands are buckets too:
+a pair at 0.8 is missed by them with probability 5e-8, one at 0.9 with 1.5e-15.  One
+bit of each minimum makes a sketch; pairs whose sketches differ in more than
+``SKETCH_BITS`` of 128 bits (2e-9 of those at 0.8) aren't compared.
 
 *Links.*  Every member of a bucket is first compared with its smallest member, which
 connects groups of copies without their pairs.  For what then lies in different
@@ -40,6 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
+from palisade.llm import simhash
 from palisade.llm.common import FILE, ROW, keep_rows, row_keyed, ship, text_of
 from palisade.llm.components import components
 from palisade.session import materialise
@@ -57,18 +60,7 @@ _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * PER_BAND).as
 
 def shingles(text: bytes) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles, ASCII letters lower-cased."""
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    n = max(1, len(words) - WIDTH + 1)
-    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-    stops = (ends[WIDTH - 1 :] - 1).tolist() if len(words) >= WIDTH else [len(joined)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n))
+    return np.unique(simhash.shingle_hashes(text, WIDTH))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -79,29 +71,31 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-_SKETCHED = "node long, n long, s1 long, s2 long, bands array<long>"
+_SKETCHED = "node long, n long, s1 long, s2 long, bands array<long>, fp long"
 
 
 def _sketch(text: bytes) -> tuple:
     import xxhash
 
-    own = shingles(text)
+    every = simhash.shingle_hashes(text, WIDTH)
+    own = np.unique(every)
     least = minima(own)
     # Low bits of a product by an odd factor are those of the hash: take a mixed one.
     bits = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), k) & 1 for k, x in enumerate(least)), np.uint8, len(least))
     s1, s2 = np.packbits(bits).view("<i8").tolist()
     keys = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, PER_BAND))), np.uint64, BANDS)
     node = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)
-    return int(node), len(own), s1, s2, keys.view(np.int64)
+    fp = np.uint64(simhash.majority(every)).view(np.int64)
+    return int(node), len(own), s1, s2, keys.view(np.int64), int(fp)
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id and place of each row; the hash, size, sketch and bands of its set."""
+    """doc_id and place of each row; the hash, size, sketch and bands of its set, and its fingerprint."""
 
     @F.pandas_udf(_SKETCHED)
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([_sketch(t.encode()) for t in texts], columns=["node", "n", "s1", "s2", "bands"])
+            yield pd.DataFrame([_sketch(t.encode()) for t in texts], columns=["node", "n", "s1", "s2", "bands", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), FILE, ROW, sketch(text_of()).alias("s"))
     return rows.select("doc_id", FILE, ROW, "s.*")
@@ -154,9 +148,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(pairs.filter(F.col("common") * WHOLE >= (F.col("size") - F.col("common")) * PARTS).select("a", "b"), "links")
 
 
+def _fingerprint_groups(rows: DataFrame) -> DataFrame:
+    """The sets (``x``) of each component (``key``) of fingerprints that the Gray-order index links."""
+    codes = materialise(rows.select("fp").distinct(), "codes")
+    tops = components(simhash.links(codes)).withColumnRenamed("node", "fp")
+    found = rows.join(tops, "fp", "left").select(F.coalesce("root", "fp").alias("key"), F.struct("node", "n", "s1", "s2").alias("x"))
+    return materialise(found, "groups")
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
-    """The smallest set (``rep``) of each bucket with two sets or more, and each set of it (``x``), once for all bands."""
+    """The smallest set (``rep``) of each bucket with two sets or more, and each set of it (``x``), once for all buckets.
+
+    Components of fingerprints are buckets, and so are equal bands.
+    """
     seen = rows.select(F.explode("bands").alias("key"), F.struct("node", "n", "s1", "s2").alias("x"))
+    seen = _fingerprint_groups(rows).unionByName(seen)
     reps = seen.groupBy("key").agg(F.min("x").alias("rep"), F.max("x.node").alias("last")).filter("rep.node <> last").drop("last")
     return materialise(seen.join(reps, "key").select("rep", "x").distinct(), "buckets")
 

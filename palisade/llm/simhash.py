@@ -43,20 +43,25 @@ _CHUNK = 1 << 16
 _LEAF = 16
 
 
-def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of word shingles, ASCII letters lower-cased."""
+def shingle_hashes(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included, ASCII letters lower-cased."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     n = max(1, len(words) - width + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[width - 1 :] - 1).tolist() if len(words) >= width else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero without any."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):
         bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -64,6 +69,11 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of word shingles."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (as a signed long) and place of each row."""
     ship(docs)

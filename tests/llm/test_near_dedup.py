@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from palisade.llm import near_dedup
+from palisade.llm import near_dedup, simhash
 from palisade.llm.common import row_keyed
 from tests.llm.test_simhash import slow_components
 
@@ -111,3 +113,30 @@ def test_places_of_shared_differences(spark):
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(row_keyed(frame)).collect()}
     assert found == slow_groups(docs)[0]
+
+
+def test_texts_meet_through_the_fingerprint_index(spark, monkeypatch):
+    """Without any common band, near texts of close fingerprints are one group still; close fingerprints alone link nothing."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    docs = {}
+    for _ in range(12):
+        words = [word() for _ in range(300)]
+        for _ in range(4):
+            docs[len(docs)] = " ".join(words)
+            words[rng.randrange(5, 295)] = word()
+    line = [word() for _ in range(61)]
+    # The same shingles in most of the places, but most distinct ones in one of the texts only.
+    docs |= {len(docs) + k: " ".join(line * 200 + [word() for _ in range(150)]) for k in range(2)}
+    ids, sets = sorted(docs), {d: slow_shingles(t) for d, t in docs.items()}
+    codes = {d: simhash.fingerprint(t.encode(), near_dedup.WIDTH) for d, t in docs.items()}
+    close = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (codes[a] ^ codes[b]).bit_count() <= simhash.RADIUS]
+    bucket = slow_components(ids, close)
+    linked = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if bucket[a] == bucket[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    wanted = slow_components(ids, linked)
+    assert len(linked) > 10 and (ids[-1], ids[-2]) in close and wanted[ids[-1]] == ids[-1]
+    sketched = near_dedup._sketched
+    monkeypatch.setattr(near_dedup, "_sketched", lambda rows: sketched(rows).withColumn("bands", F.array("node")))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(row_keyed(frame)).collect()}
+    assert found == wanted and len({*found.values()}) < len(docs) - 12
