@@ -16,6 +16,8 @@ _COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
 #: First value too wide for each selector but the escape, narrow selectors first.
 _TOO_WIDE = np.array([1 << bits for _, bits in SELECTORS[1:]], np.uint64)
 _MOST = max(n for n, _ in SELECTORS)
+#: The narrowest selector that takes a value, of values below 65,536.
+_NARROWEST = (np.searchsorted(_TOO_WIDE, np.arange(1 << 16, dtype=np.uint64), "right") + 1).astype(np.uint8)
 
 
 def _choices(values: np.ndarray) -> np.ndarray:
@@ -26,7 +28,7 @@ def _choices(values: np.ndarray) -> np.ndarray:
     """
     n = len(values)
     widest = np.zeros(n + _MOST, np.uint8)  # of the run at each place, as the narrowest selector that takes it
-    widest[:n] = np.searchsorted(_TOO_WIDE, values, "right") + 1
+    widest[:n] = _NARROWEST[values] if values.max() < len(_NARROWEST) else np.searchsorted(_TOO_WIDE, values, "right") + 1
     choice, run = np.zeros(n, np.uint8), 1
     for selector in range(len(SELECTORS) - 1, 0, -1):
         more = SELECTORS[selector][0] - run
@@ -36,29 +38,58 @@ def _choices(values: np.ndarray) -> np.ndarray:
         fits = widest[:n] <= selector
         if not fits.any():
             break
-        choice[fits] = selector
+        np.copyto(choice, selector, where=fits)
     return choice
 
 
+def _starts(choice: np.ndarray, real: np.ndarray, width: int) -> np.ndarray:
+    """Where words start: each group of ``width`` places has a first word, and a word that ends in padding is its last.
+
+    Only every eighth start is walked to; the others follow from those at once.
+    """
+    n = len(choice)
+    here = np.arange(n)
+    one = np.append(here + _COUNTS[choice], n)
+    one[:n] = np.where(np.append(real, np.zeros(_MOST, bool))[one[:n]], one[:n], (here // width + 1) * width)
+    two = one[one]
+    four = two[two]
+    eight = memoryview(four[four])
+    walked, at = [], 0
+    while at < n:
+        walked.append(at)
+        at = eight[at]
+    starts = np.array(walked, np.int64)
+    for jump in (four, two, one):
+        starts = np.concatenate([starts, jump[starts]])
+    starts.sort()
+    return starts[: np.searchsorted(starts, n)]
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """64-bit words of unsigned values.  Unused places of the last word are zero."""
+    return pack_groups(values, max(1, len(values)))[0]
+
+
+def pack_groups(values: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the values, and the first word of each group of values, which starts on a word of its own."""
     values = np.asarray(values, np.uint64)
     n = len(values)
     if not n:
-        return np.empty(0, np.uint64)
-    choice = _choices(values)
-    steps = _COUNTS[choice].tolist()
-    starts, at = [], 0
-    add = starts.append
-    while at < n:
-        add(at)
-        at += steps[at]
-    starts = np.array(starts, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    # Padding behind each group, so that no word goes on into the next one.
+    n_groups, width = -(-n // group), group + _MOST
+    where = np.arange(n)
+    where += where // group * _MOST
+    padded = np.zeros(n_groups * width + _MOST, np.uint64)
+    padded[where] = values
+    real = np.zeros(n_groups * width, bool)
+    real[where] = True
+    choice = _choices(padded[: n_groups * width])
+    starts = _starts(choice, real, width)
     chosen = choice[starts]
     length = 1 + (chosen == 0)
     place = np.cumsum(length) - length
     words = np.zeros(int(length.sum()), np.uint64)
-    padded = np.append(values, np.zeros(_MOST, np.uint64))
     for selector in np.unique(chosen).tolist():
         own = np.flatnonzero(chosen == selector)
         if selector == 0:
@@ -67,7 +98,7 @@ def pack(values: np.ndarray) -> np.ndarray:
         each, shifts = _lanes(selector)
         word = np.bitwise_or.reduce(padded[starts[own] + each] << shifts, axis=0)
         words[place[own]] = word | np.uint64(selector << 60)
-    return words
+    return words, place[np.searchsorted(starts, np.arange(n_groups) * width)]
 
 
 def _lanes(selector: int) -> tuple[np.ndarray, np.ndarray]:

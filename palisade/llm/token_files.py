@@ -23,6 +23,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,28 +31,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import ship, text_of
-from palisade.llm.simple8b import pack, unpack
+from palisade.llm.simple8b import pack_groups, unpack
 from palisade.llm.units import word_coder
 from palisade.session import materialise, scratch_path
 
 _MAGIC = b"TOK8"
 GROUP = 4096
 _BLOCK_DOCS, _BLOCK_IDS = 64, 65_536
+#: Bytes of blocks, and documents of read blocks or bytes of their ids, that make a batch of rows.
+_WRITE_BYTES, _READ_DOCS, _READ_BYTES = 1 << 21, 2_000, 1 << 22
 
 
 def pack_block(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    groups = [pack(ids[at : at + GROUP]) for at in range(0, len(ids), GROUP)]
-    sizes = [len(g) for g in groups]
-    offsets = np.cumsum([0, *sizes[:-1]]).astype("<u4") if groups else np.empty(0, "<u4")
+    words, offsets = pack_groups(ids, GROUP)
     return b"".join(
         [
             _MAGIC,
-            struct.pack("<3I", len(doc_ids), len(ids), sum(sizes)),
+            struct.pack("<3I", len(doc_ids), len(ids), len(words)),
             bytes(d is not None for d in doc_ids),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array(lengths, "<u4").tobytes(),
-            offsets.tobytes(),
-            *[g.astype("<u8").tobytes() for g in groups],
+            offsets.astype("<u4").tobytes(),
+            words.astype("<u8").tobytes(),
             b"\n",
         ]
     )
@@ -97,23 +98,28 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, end = word_coder(tokenizer), np.array([end_id], "<u4").tobytes()
         doc_ids, lengths, parts, n = [], [], [], 0
+        ready: list[bytes] = []
 
-        def closed() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return pd.DataFrame({"value": [pack_block(doc_ids, lengths, ids)]})
+        def closed() -> bytes:
+            return pack_block(doc_ids, lengths, np.frombuffer(b"".join(parts), "<u4"))
 
         for batch in batches:
-            known = batch["doc_id"].notna().tolist()
+            known, own = batch["doc_id"].notna().tolist(), batch["doc_id"].tolist()
             for i, ids in enumerate(coder.encode(batch["text"])):
-                doc_ids.append(int(batch["doc_id"].iat[i]) if known[i] else None)
+                doc_ids.append(int(own[i]) if known[i] else None)
                 parts.append(ids + end)
                 lengths.append(len(ids) // 4 + 1)
                 n += lengths[-1]
                 if n >= _BLOCK_IDS or len(doc_ids) >= _BLOCK_DOCS:
-                    yield closed()
+                    ready.append(closed())
                     doc_ids, lengths, parts, n = [], [], [], 0
+                    if sum(map(len, ready)) >= _WRITE_BYTES:
+                        yield pd.DataFrame({"value": ready})
+                        ready = []
         if doc_ids:
-            yield closed()
+            ready.append(closed())
+        if ready:
+            yield pd.DataFrame({"value": ready})
 
     # A block ends with a newline of its own: the writer's separator.
     packed = rows.mapInPandas(blocks, "value binary").select(
@@ -123,7 +129,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
 
 def _documents(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(doc ids, places in the file, ids of each doc, their ids) of each block of a file."""
+    """(doc ids, places in the file, number of ids of each doc, their ids) of each block of a file."""
     place = 0
     for doc_ids, lengths, ids in unpack_blocks(content):
         ends = np.cumsum(lengths, dtype=np.int64)
@@ -132,15 +138,30 @@ def _documents(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray, l
         place += int(ends[-1]) if len(ends) else 0
 
 
+def _batches(content: bytes) -> Iterator[list[tuple]]:
+    """The blocks of a file, some at a time, as ``_documents`` gives them."""
+    some, docs, size = [], 0, 0
+    for block in _documents(content):
+        some.append(block)
+        docs += len(block[0])
+        size += sum(ids.nbytes for ids in block[3])
+        if docs >= _READ_DOCS or size >= _READ_BYTES:
+            yield some
+            some, docs, size = [], 0, 0
+    if some:
+        yield some
+
+
 def _read(spark: SparkSession, folder: str, make, schema: str) -> DataFrame:
-    """(file, place in the file, doc_id, columns that ``make`` gives for a block) of all documents."""
+    """(file, place in the file, doc_id, columns that ``make`` gives for some blocks) of all documents."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                for doc_ids, places, lengths, each in _documents(content):
-                    known = {"file": path, "place": places, "doc_id": pd.array(doc_ids, "Int64")}
-                    yield pd.DataFrame(known | make(lengths, each))
+                for some in _batches(content):
+                    doc_ids, places, lengths, each = zip(*some)
+                    known = {"file": path, "place": np.concatenate(places), "doc_id": pd.array([*chain(*doc_ids)], "Int64")}
+                    yield pd.DataFrame(known | make(np.concatenate(lengths), [*chain(*each)]))
 
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     return files.mapInPandas(rows, f"file string, place long, doc_id long, {schema}")

@@ -1,5 +1,6 @@
 """Encoders, token files and packing against the libraries themselves."""
 
+import gc
 import random
 import zlib
 from hashlib import sha256
@@ -68,6 +69,39 @@ def test_small_memory_gives_the_same_ids():
     assert [bytes(ids(x)).decode() for x in coder.encode(texts)] == texts
 
 
+def test_cycles_are_not_searched_while_texts_are_encoded():
+    searched = []
+    coder = units.UnitCoder(lambda texts: searched.append(gc.isenabled()) or [list(t.encode()) for t in texts], limit=5)
+    was = gc.isenabled()
+    gc.enable()
+    assert len(list(coder.encode(["a b", "c"]))) == 2 and gc.isenabled() and searched and not any(searched)
+    with pytest.raises(ZeroDivisionError):
+        list(units.UnitCoder(lambda texts: 1 / 0).encode(["a"]))
+    assert gc.isenabled()
+    if not was:
+        gc.disable()
+
+
+def test_byte_bpe_remembers_as_many_pieces_as_word_files_do(tiktoken_encoding):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coder = units.UnitCoder(byte_bpe._coder(path, public_tokenizers.PATTERN).encode_many, byte_bpe._coder(path, public_tokenizers.PATTERN).limit)
+    encode, asked = coder.encode_many, []
+    coder.encode_many = lambda texts: asked.extend(texts) or encode(texts)
+    texts = [" ".join(f"q{i}" for i in range(at, at + 25_000)) for at in range(0, 250_000, 25_000)]
+    once = list(coder.encode(texts))
+    n = len(asked)
+    assert list(coder.encode(texts)) == once and len(asked) <= n + len(texts)
+
+
+def test_blocks_travel_in_batches():
+    """A row batch has many small blocks, and a long block doesn't wait for others."""
+    small = token_files.pack_block([1, None], [2, 1], np.array([7, 8, 9], "<u4"))
+    large = token_files.pack_block([3], [2_000_000], np.zeros(2_000_000, "<u4"))
+    sizes = [len(some) for some in token_files._batches(small * 2_500 + large + small)]
+    assert sizes == [1_000, 1_000, 501, 1]
+    assert list(token_files._batches(b"")) == []
+
+
 def test_word_coder_equals_the_library_on_odd_texts():
     texts = fuzz(4_000)
     coder = units.word_coder(public_tokenizers.path("word_bpe_49k.json"))
