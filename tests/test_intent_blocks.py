@@ -38,3 +38,24 @@ def test_odd_samples_and_one_label(spark):
     assert model.n_samples == 5 and ib.certificate(model, samples).first()["gradient"] < 1e-4
     with pytest.raises(ValueError):
         ib.train_by_blocks(samples.filter("label = 1"))
+
+
+def test_a_step_is_one_job_of_a_few_stages(spark):
+    sc, seen = spark.sparkContext, []
+    for steps in (2, 6):
+        sc.setJobGroup(f"steps {steps}", "")
+        ib.train_by_blocks(seed_samples(spark), max_iter=steps, tol=0.0)
+        seen.append(len(sc.statusTracker().getJobIdsForGroup(f"steps {steps}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[1] - seen[0] <= 4 + 1  # and one, where a step has to be halved
+
+
+def test_the_path_of_written_blocks_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ib, "WRITTEN", 2)
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    ib.train_by_blocks(seed_samples(spark), max_iter=5, tol=0.0)
+    if before:
+        sc._jsc.sc().setCheckpointDir(before)
+    assert not [x for x in tmp_path.rglob("rdd-*")]
