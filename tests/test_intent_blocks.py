@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import intent_blocks as ib
+from palisade.operators import intent_model as im
 from palisade.operators.intent_model import IntentModel
 from palisade.sources.corpus import seed_samples
 
@@ -50,6 +51,21 @@ def test_a_step_is_one_job_of_a_few_stages(spark):
     assert seen[1] - seen[0] <= 4 + 1  # and one, where a step has to be halved
 
 
+def test_many_characters_are_fitted_without_vectors(spark, seed, monkeypatch):
+    def refused(*a, **b):
+        raise AssertionError("vectors of all samples")
+
+    monkeypatch.setattr(im, "_vectors_by_broadcast", refused)
+    monkeypatch.setattr(im, "_vectors_by_join", refused)
+    monkeypatch.setattr(im, "MAX_VECTOR_CHARS", 500, raising=False)
+    model = im.train(spark=spark)
+    weight, n = model.grams.alias("a").join(seed.grams.alias("b"), "gram").agg(
+        F.max(F.abs(F.col("a.weight") - F.col("b.weight"))), F.count("*")
+    ).first()
+    assert n == seed.n_grams == model.n_grams and model.n_samples == 40
+    assert weight < 1e-4 and model.intercept == pytest.approx(seed.intercept, abs=1e-4)
+
+
 def test_the_path_of_written_blocks_is_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ib, "WRITTEN", 2)
     sc = spark.sparkContext
